@@ -13,16 +13,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def block_of(pos: Column, size: float) -> Column:
+    """The block of a position. Zero lies mid-block, so a short source that starts there has no edge."""
+    return F.floor((pos + F.lit(size / 2.0)) / F.lit(float(size))).cast("bigint")
+
+
 def with_halo(df: DataFrame, pos: Column, size: float, before: float, after: float, block: str = "blk") -> DataFrame:
     """Each row once per block that needs it.
 
-    A block [b*size, (b+1)*size) also gets the rows up to `before` below its start and
+    A block (see `block_of`) also gets the rows up to `before` below its start and
     up to `after` above its end. Rows with a null position are left out. The column
     `<block>_home` tells whether the row is the block's own.
     """
-    home = F.floor(pos / F.lit(float(size))).cast("bigint")
-    first = F.floor((pos - F.lit(float(after))) / F.lit(float(size))).cast("bigint")
-    last = F.floor((pos + F.lit(float(before))) / F.lit(float(size))).cast("bigint")
+    home = block_of(pos, size)
+    first, last = block_of(pos - F.lit(float(after)), size), block_of(pos + F.lit(float(before)), size)
     return (
         df.where(pos.isNotNull())
         .withColumn(f"{block}_own", home)

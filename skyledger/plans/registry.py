@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.plans import data_quality, fusion
+from skyledger.plans import data_quality, fusion, telemetry
 
-MODULES = [fusion, data_quality]
+MODULES = [fusion, telemetry, data_quality]
 
 
 def queries() -> dict:

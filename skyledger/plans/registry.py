@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.plans import data_quality, fusion, telemetry
+from skyledger.plans import data_quality, fusion, points, telemetry
 
-MODULES = [fusion, telemetry, data_quality]
+MODULES = [fusion, points, telemetry, data_quality]
 
 
 def queries() -> dict:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.plans import clouds, data_quality, fusion, points, telemetry
+from skyledger.plans import clouds, data_quality, fusion, images, points, telemetry
 
-MODULES = [fusion, points, clouds, telemetry, data_quality]
+MODULES = [fusion, points, clouds, images, telemetry, data_quality]
 
 
 def queries() -> dict:

@@ -14,5 +14,5 @@ QUERIES = {
 SQL = {
     "m_tumbling_window": f"WITH e AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS start_s, event_type, value FROM events) SELECT start_s, event_type, count(*) AS n, round(sum(value), 6) AS total FROM e GROUP BY ALL HAVING start_s + 3600 <= epoch({CLOSED})",
     "m_sliding_window": f"WITH e AS (SELECT CAST(floor(epoch(ts) / 1800) AS BIGINT) * 1800 - o * 1800 AS start_s, event_type, value FROM events, range(2) AS r(o)) SELECT start_s, event_type, count(*) AS n, round(sum(value), 6) AS total FROM e GROUP BY ALL HAVING start_s + 3600 <= epoch({CLOSED})",
-    "m_session_window": f"WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT user_id, epoch_ms(min(ts)) AS start_ms, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 10 MINUTE <= {CLOSED}",
+    "m_session_window": f"WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 10 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 10 MINUTE <= {CLOSED}",
 }

@@ -45,7 +45,7 @@ def windowed(stream: DataFrame, length: str, slide: str | None = None, late: str
 
 def sessions(stream: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
     g = stream.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("user_id", F.unix_millis("w.start").alias("start_ms"), "n")
+    return g.select("user_id", F.unix_seconds("w.start").alias("start_s"), "n")
 
 
 def filtered_positions(stream: DataFrame) -> DataFrame:

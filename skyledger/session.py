@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -38,3 +40,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="skyledger-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python workers, once per context.
+
+    Arrow functions are pickled by reference, so a worker that starts elsewhere than in the
+    repository must be able to import the package.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_skyledger_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="skyledger-")) / "skyledger.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._skyledger_shipped = True

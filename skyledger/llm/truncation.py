@@ -45,8 +45,8 @@ def _ending(text: Column, p: CutParams) -> tuple[Column, Column]:
     tail = F.regexp_replace(F.right(text, F.lit(p.tail_chars)), r"(?U)\s+$", "")
     word = F.lower(F.regexp_extract(tail, r"(?U)(\S+)$", 1))
     word = F.when(F.length(word) > 24, F.right(word, F.lit(2))).otherwise(word)
-    word = F.regexp_replace(word, r"\d+", "0")
-    word = F.when(word.rlike(r"^[0-9a-z]*0[a-z][0-9a-z]*$|^[a-z]+0[0-9a-z]*$"), F.lit("<mixed>")).otherwise(word)
+    word = F.regexp_replace(word, r"\d", "0")
+    word = F.when(word.rlike(r"^[0-9a-z]*0[a-z][0-9a-z]*$|^[a-z]+0[0-9a-z]*$|^(?=.*[a-f])[0a-f]{4,}$"), F.lit("<mixed>")).otherwise(word)
     last = F.right(tail, F.lit(1))
     kind = (
         F.when(F.length(tail) == 0, "blank")
@@ -87,6 +87,7 @@ def features(documents: DataFrame, p: CutParams) -> DataFrame:
         (F.octet_length("text") - F.when(broken, 3).otherwise(0)).alias("b"),
         (F.octet_length("text") - F.when(broken, 3).otherwise(0) > n - F.when(broken, 1).otherwise(0)).alias("wide"),
         broken.alias("broken"),
+        F.xxhash64("text").alias("h"),
         word.alias("word"),
         kind.alias("kind"),
         F.array(*cuts).alias("cuts"),
@@ -226,7 +227,8 @@ def scored_documents(documents: DataFrame, params: CutParams = CutParams()) -> D
     x = x.withColumn("grp", grp).drop("limits")
 
     # how often a word ends a text that isn't at a limit, and a random cut
-    words = x.where("grp = ''").select("src", "word", F.lit(1).alias("seen"), F.lit(0).alias("cut"))
+    # (a text that is there several times is one)
+    words = x.where("grp = ''").select("src", "word", "h").distinct().select("src", "word", F.lit(1).alias("seen"), F.lit(0).alias("cut"))
     words = words.unionByName(f.select("src", F.inline("cuts")).select("src", "word", F.lit(0).alias("seen"), F.lit(1).alias("cut")))
     own = words.groupBy("src", "word").agg(F.sum("seen").alias("seen"), F.sum("cut").alias("cut"))
     pooled = own.groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("cut").alias("cut")).withColumn("src", F.lit(ALL))

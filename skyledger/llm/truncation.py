@@ -236,7 +236,16 @@ def scored_documents(documents: DataFrame, params: CutParams = CutParams()) -> D
     stats = stats.withColumns({"all_seen": F.col("seen"), "all_cut": F.col("cut")}).drop("seen", "cut").checkpoint()
     totals = stats.groupBy("src").agg(F.sum("all_seen").alias("n_seen"), F.sum("all_cut").alias("n_cut"))
 
-    y = x.join(salted(stats), ["src", "word", "salt"], "left").fillna(0, ["all_seen", "all_cut"])
+    # Words that make up a thousandth of all endings are few by arithmetic and go to every executor; the others
+    # have no hot key. Documents with one of the former get a filler key of their own in the second join.
+    many = (1 + p.cuts) * f.count() / 1000.0
+    often = F.col("all_seen") + F.col("all_cut") >= many
+    hot = stats.where(often)
+    cold = stats.where(~often).select(F.col("src").alias("c_src"), F.col("word").alias("c_word"), F.col("all_seen").alias("c_seen"), F.col("all_cut").alias("c_cut"))
+    y = x.join(F.broadcast(hot), ["src", "word"], "left")
+    filler = F.when(F.col("all_seen").isNull(), F.col("word")).otherwise(F.concat(F.lit("~"), F.col("doc_id").cast("string")))
+    y = y.withColumn("key", filler).join(cold, (F.col("src") == F.col("c_src")) & (F.col("key") == F.col("c_word")), "left")
+    y = y.withColumns({"all_seen": F.coalesce("all_seen", "c_seen", F.lit(0)), "all_cut": F.coalesce("all_cut", "c_cut", F.lit(0))})
     others = F.col("all_seen") - (F.col("grp") == "").cast("int")  # the document itself left out
     y = y.withColumns({"others": others, "cat": _category(F.col("kind"), others)})
     y = y.select("doc_id", "src", "n", "broken", "grp", "cat", "kind", "others", "all_cut", "salt").checkpoint()

@@ -242,3 +242,26 @@ def test_contract():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_similarity_recovers_a_known_transform(spark):
+    from skyledger.operators.alignment import similarity
+
+    rng = np.random.default_rng(0)
+    a = rng.normal(size=(200, 3)) * 30
+    q, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    q *= np.sign(np.linalg.det(q))
+    b = 0.37 * a @ q.T + np.array([120.0, -40.0, 300.0])
+    df = spark.createDataFrame([(*map(float, x), *map(float, y)) for x, y in zip(a, b)], "ax double, ay double, az double, bx double, by double, bz double")
+    scale, rot, t = similarity(df, ("ax", "ay", "az"), ("bx", "by", "bz"))
+    assert scale == pytest.approx(0.37, abs=1e-6) and np.allclose(rot, q, atol=1e-6) and np.allclose(t, [120, -40, 300], atol=1e-4)
+    with pytest.raises(ValueError, match="three"):
+        similarity(df.limit(2), ("ax", "ay", "az"), ("bx", "by", "bz"))
+
+
+def test_keyframe_chain_breaks_after_a_gap(spark):
+    from skyledger.operators.alignment import keyframe_chain
+
+    q = [1, 1, 0, 0, 1, 0, 0, 0, 1, 1]
+    df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(q)], "k string, i long, q double")
+    assert [r.i for r in keyframe_chain(df, "k", "i", "q").orderBy("i").collect()] == [0, 1, 4]

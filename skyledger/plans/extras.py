@@ -108,3 +108,50 @@ def _(s, d):
     e = a.join(b.withColumnRenamed("v", "b"), ["frame_idx", "row", "col"]).select("a", "b")
     lab = components(e, b.select("v"))
     return lab.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n >= 8").select(F.floor(c("component") / 64).cast("bigint").alias("frame_idx"), "component", "n")
+
+
+@query("e15_frame_attributes", "SELECT l_suppkey AS frame_idx, s_nationkey AS camera, count(*) AS n, round(avg(l_discount), 9) AS mean_angle FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL")
+def _(s, d):
+    """Observations with their frame's attributes: reduced per frame first, so the join moves one row a frame."""
+    o = table(s, d, "lineitem").groupBy(c("l_suppkey").alias("frame_idx")).agg(F.count(F.lit(1)).alias("n"), F.avg("l_discount").alias("m"))
+    f = table(s, d, "supplier").select(c("s_suppkey").alias("frame_idx"), c("s_nationkey").alias("camera"))
+    return o.join(f, "frame_idx").select("frame_idx", "camera", "n", r(c("m")).alias("mean_angle"))
+
+
+@query("h6_sampling_cap")
+def _(s, d):
+    """A seeded sample of at most 40 000 rows (a sampling operator): the least hashes, whatever the partitioning."""
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber").orderBy(F.xxhash64("l_orderkey", "l_linenumber", F.lit(11)), "l_orderkey", "l_linenumber").limit(40_000)
+
+
+@query("j14_settings_echo", "SELECT p_partkey AS id, json_object('p_size', p_size, 'p_brand', p_brand)::VARCHAR AS echo FROM part")
+def _(s, d):
+    """Only the tunable settings of a configuration, as a document."""
+    return table(s, d, "part").select(c("p_partkey").alias("id"), F.to_json(F.struct("p_size", "p_brand")).alias("echo"))
+
+
+@query("k19_degradation", f"WITH {PX}, n AS (SELECT frame_idx, row, col, v, 255 * pow(v / 255, 1.4) AS g FROM px) SELECT frame_idx, round(avg(g), 6) AS mean_gamma, round(avg(CASE WHEN col < 4 THEN g * 0.6 ELSE g END), 6) AS mean_shadow FROM n GROUP BY 1")
+def _(s, d):
+    """Gamma and a shadow over the left half of each image."""
+    g = F.pow(c("gray") / 255.0, F.lit(1.4)) * 255.0
+    return A.patches(s, d).groupBy("frame_idx").agg(r(F.avg(g), 6).alias("mean_gamma"), r(F.avg(F.when(c("col") < 4, g * 0.6).otherwise(g)), 6).alias("mean_shadow"))
+
+
+TRI = """t AS (SELECT p_partkey AS id, (p_partkey * 7 % 53)::DOUBLE AS x0, (p_partkey * 11 % 47)::DOUBLE AS y0, (p_partkey * 13 % 53)::DOUBLE + 3 AS x1, (p_partkey * 5 % 47)::DOUBLE + 1 AS y1, (p_partkey * 3 % 53)::DOUBLE AS x2, (p_partkey * 17 % 47)::DOUBLE + 4 AS y2, 5.0::DOUBLE + p_size AS z FROM part),
+k AS (SELECT *, (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) AS area FROM t WHERE (x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0) > 0),
+q AS (SELECT k.*, gx.i AS px, gy.i AS py FROM k, range(60) AS gx(i), range(60) AS gy(i) WHERE gx.i BETWEEN floor(least(x0, x1, x2)) AND ceil(greatest(x0, x1, x2)) AND gy.i BETWEEN floor(least(y0, y1, y2)) AND ceil(greatest(y0, y1, y2))),
+h AS (SELECT * FROM q WHERE (x1 - x0) * (py - y0) - (y1 - y0) * (px - x0) >= 0 AND (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) >= 0 AND (x0 - x2) * (py - y2) - (y0 - y2) * (px - x2) >= 0)"""
+
+
+@query("k18_rasterise", f"WITH {TRI} SELECT py AS row, px AS col, arg_min(id, (z, id)) AS triangle_id, min(z) AS depth, count(*) AS n_candidates FROM h GROUP BY 1, 2")
+def _(s, d):
+    """Nearest front-facing triangle per pixel: each triangle lists the pixels of its bounding box, edge functions decide."""
+    k = c("p_partkey")
+    f = lambda m, n: (k * m % n).cast("double")
+    t = table(s, d, "part").select(k.alias("id"), f(7, 53).alias("ax"), f(11, 47).alias("ay"), (f(13, 53) + 3).alias("bx"), (f(5, 47) + 1).alias("by"), f(3, 53).alias("cx"), (f(17, 47) + 4).alias("cy"), (F.lit(5.0) + c("p_size")).alias("z"))
+    edge = lambda p, q, x, y: (c(f"{q}x") - c(f"{p}x")) * (y - c(f"{p}y")) - (c(f"{q}y") - c(f"{p}y")) * (x - c(f"{p}x"))
+    t = t.where(edge("a", "b", c("cx"), c("cy")) > 0)
+    span = lambda a: F.sequence(F.greatest(F.floor(F.least(*[c(f"{v}{a}") for v in "abc"])), F.lit(0)).cast("bigint"), F.least(F.ceil(F.greatest(*[c(f"{v}{a}") for v in "abc"])), F.lit(59)).cast("bigint"))
+    q = t.withColumn("px", F.explode(span("x"))).withColumn("py", F.explode(span("y")))
+    inside = (edge("a", "b", c("px"), c("py")) >= 0) & (edge("b", "c", c("px"), c("py")) >= 0) & (edge("c", "a", c("px"), c("py")) >= 0)
+    return q.where(inside).groupBy(c("py").alias("row"), c("px").alias("col")).agg(F.min_by("id", F.struct("z", "id")).alias("triangle_id"), F.min("z").alias("depth"), F.count(F.lit(1)).alias("n_candidates"))

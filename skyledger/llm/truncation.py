@@ -74,7 +74,7 @@ def features(documents: DataFrame, p: CutParams) -> DataFrame:
     d = d.where("text is not null and text <> ''").withColumn("src", F.when(src != "", src).otherwise(F.lit(None)))
     d = d.withColumn("src", F.coalesce("src", F.lit(ALL)))
     word, kind = _ending(F.col("text"), p)
-    n, broken = F.length("text"), F.col("text").endswith(BROKEN)
+    n, broken = F.length("text"), F.regexp_replace(F.right("text", F.lit(16)), r"(?U)\s+$", "").endswith(BROKEN)
     cuts = []
     for i in range(p.cuts):
         at = 1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(n - 1, F.lit(1))).cast("int")

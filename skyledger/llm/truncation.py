@@ -37,7 +37,7 @@ class CutParams:
     excess: float = 4.0  # and this many times what its neighbourhood lets expect
     tail_chars: int = 96  # the end of a text that holds its last word
     salts: int = 16
-    threshold: float = 0.5
+    threshold: float = 0.4  # of the posterior; texts away from a limit get too low a one rather than too high
 
 
 def _ending(text: Column, p: CutParams) -> tuple[Column, Column]:
@@ -48,14 +48,16 @@ def _ending(text: Column, p: CutParams) -> tuple[Column, Column]:
     word = F.regexp_replace(word, r"\d", "0")
     word = F.when(word.rlike(r"^[0-9a-z]*0[a-z][0-9a-z]*$|^[a-z]+0[0-9a-z]*$|^(?=.*[a-f])[0a-f]{4,}$"), F.lit("<mixed>")).otherwise(word)
     last = F.right(tail, F.lit(1))
+    # whole texts rarely end in blanks; a cut just behind a word or sentence often does
+    blank = F.when(F.right(text, F.lit(1)).rlike(r"(?U)\s"), "_").otherwise("")
     kind = (
         F.when(F.length(tail) == 0, "blank")
         .when(tail.rlike(r"(…|\.\.\.)$"), "dots")
         .when(tail.rlike(r"\p{N}[.]$"), "numstop")
-        .when(last.rlike(r"[.!?。！？।؟]"), F.concat(F.lit("stop"), last))
+        .when(last.rlike(r"[.!?。！？।؟]"), F.concat(F.lit("stop"), last, blank))
         .when(last.rlike(r"\p{L}|\p{M}"), "letter")
         .when(last.rlike(r"\p{N}"), "digit")
-        .when(last.rlike(r"[\p{P}`<>|=+]"), F.concat(F.lit("mark"), last))
+        .when(last.rlike(r"[\p{P}`<>|=+]"), F.concat(F.lit("mark"), last, blank))
         .otherwise("symbol")
     )
     return word, kind
@@ -151,12 +153,12 @@ def fit_endings(cats: pd.DataFrame) -> pd.DataFrame:
     """Likelihood ratios of the ending categories of one source, its rate of cuts, and that at each limit.
 
     `cats` has (grp, cat, n) where grp is "seen" (texts not at a limit), "cut" (random cuts), a limit,
-    or "all_seen"/"all_cut" for the shares over all sources. Texts that aren't at a limit are a mixture
+    "all_seen"/"all_cut" for the shares over all sources, or "twice" for the number of endings seen twice. Texts that aren't at a limit are a mixture
     of whole and cut ones; no category of the whole ones can be negative, and the categories that
     cut texts have most in excess give the share of cut ones. The share at each limit is found by expectation-maximisation.
     """
     t = cats.pivot_table(index="cat", columns="grp", values="n", aggfunc="sum", fill_value=0.0)
-    for g in ("seen", "cut", "all_seen", "all_cut"):
+    for g in ("seen", "cut", "all_seen", "all_cut", "twice"):
         if g not in t:
             t[g] = 0.0
 
@@ -166,10 +168,19 @@ def fit_endings(cats: pd.DataFrame) -> pd.DataFrame:
 
     cut = smooth(t["cut"], t["all_cut"], 20.0)
     seen = smooth(t["seen"], t["all_seen"], 3.0)
-    # pooled over the endings that whole texts have least of, as a single one may be missing by chance
-    order = (seen / cut).sort_values().index
-    low = order[: 1 + int(np.searchsorted(cut[order].cumsum().to_numpy(), 0.4))]
-    base = float(np.clip(seen[low].sum() / cut[low].sum(), 0.002, 0.5))
+    def cut_share(a: pd.Series, b: pd.Series) -> float:
+        # pooled over the endings that whole texts have least of, as a single one may be missing by chance
+        order = (a / b).sort_values().index
+        low = order[: 1 + int(np.searchsorted(b[order].cumsum().to_numpy(), 0.4))]
+        return float(np.clip(a[low].sum() / b[low].sum(), 0.002, 0.5))
+
+    # With few texts, an unseen ending may just be a rare one of whole texts. How many of those to expect follows
+    # from the endings seen twice: if whole texts hardly vary there are none, and unseen ones are cuts.
+    n_seen = max(float(t["seen"].sum()), 1.0)
+    new = [k for k in t.index if k.endswith(":new")]
+    rare = (3.0 * float(t["twice"].sum()) + 1.0) / n_seen
+    by_novelty = float(np.clip((seen[new].sum() - rare) / max(cut[new].sum(), 0.05), 0.002, 0.5))
+    base = (cut_share(seen, cut) * n_seen + by_novelty * 50.0) / (n_seen + 50.0)
     whole = (seen - base * cut).clip(lower=0.02 * seen).clip(lower=1e-5)
     whole = whole / whole.sum()
     ratio = cut / whole
@@ -228,10 +239,10 @@ def scored_documents(documents: DataFrame, params: CutParams = CutParams()) -> D
 
     # how often a word ends a text that isn't at a limit, and a random cut
     # (a text that is there several times is one)
-    words = x.where("grp = ''").select("src", "word", "h").distinct().select("src", "word", F.lit(1).alias("seen"), F.lit(0).alias("cut"))
-    words = words.unionByName(f.select("src", F.inline("cuts")).select("src", "word", F.lit(0).alias("seen"), F.lit(1).alias("cut")))
-    own = words.groupBy("src", "word").agg(F.sum("seen").alias("seen"), F.sum("cut").alias("cut"))
-    pooled = own.groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("cut").alias("cut")).withColumn("src", F.lit(ALL))
+    words = x.where("grp = ''").select("src", "word", "kind", "h").distinct().select("src", "word", "kind", F.lit(1).alias("seen"), F.lit(0).alias("cut"))
+    words = words.unionByName(f.select("src", F.inline("cuts")).select("src", "word", "kind", F.lit(0).alias("seen"), F.lit(1).alias("cut")))
+    own = words.groupBy("src", "word").agg(F.sum("seen").alias("seen"), F.sum("cut").alias("cut"), F.max("kind").alias("w_kind"))
+    pooled = own.groupBy("word").agg(F.sum("seen").alias("seen"), F.sum("cut").alias("cut"), F.max("w_kind").alias("w_kind")).withColumn("src", F.lit(ALL))
     stats = own.where(F.col("src") != ALL).unionByName(pooled)
     stats = stats.withColumns({"all_seen": F.col("seen"), "all_cut": F.col("cut")}).drop("seen", "cut").checkpoint()
     totals = stats.groupBy("src").agg(F.sum("all_seen").alias("n_seen"), F.sum("all_cut").alias("n_cut"))
@@ -240,7 +251,7 @@ def scored_documents(documents: DataFrame, params: CutParams = CutParams()) -> D
     # have no hot key. Documents with one of the former get a filler key of their own in the second join.
     many = (1 + p.cuts) * f.count() / 1000.0
     often = F.col("all_seen") + F.col("all_cut") >= many
-    hot = stats.where(often)
+    hot = stats.where(often).drop("w_kind")
     cold = stats.where(~often).select(F.col("src").alias("c_src"), F.col("word").alias("c_word"), F.col("all_seen").alias("c_seen"), F.col("all_cut").alias("c_cut"))
     y = x.join(F.broadcast(hot), ["src", "word"], "left")
     filler = F.when(F.col("all_seen").isNull(), F.col("word")).otherwise(F.concat(F.lit("~"), F.col("doc_id").cast("string")))
@@ -255,7 +266,8 @@ def scored_documents(documents: DataFrame, params: CutParams = CutParams()) -> D
     cut_cats = cut_words.join(stats.select("src", "word", "all_seen"), ["src", "word"], "left").withColumn("cat", _category(F.col("kind"), F.coalesce("all_seen", F.lit(0))))
     cut_cats = cut_cats.groupBy("src", "cat").agg(F.sum("k").alias("n")).withColumn("grp", F.lit("cut"))
     seen_cats = y.groupBy("src", "grp", "cat").agg(F.count(F.lit(1)).alias("n")).withColumn("grp", F.when(F.col("grp") == "", "seen").otherwise(F.col("grp")))
-    cats = seen_cats.unionByName(cut_cats)
+    twice = stats.where((F.col("all_seen") == 2) & F.col("w_kind").isin("letter", "digit", "numstop")).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    cats = seen_cats.unionByName(cut_cats).unionByName(twice.select("src", F.lit("twice").alias("grp"), F.lit("letter:new").alias("cat"), "n"))
     overall = cats.where("grp in ('seen', 'cut')").groupBy("grp", "cat").agg(F.sum("n").alias("n")).withColumn("grp", F.concat(F.lit("all_"), F.col("grp")))
     sources = cats.select("src").distinct()
     cats = cats.unionByName(sources.crossJoin(F.broadcast(overall)).select("src", "grp", "cat", "n"))  # at most a row for each kind of ending
@@ -273,7 +285,7 @@ def scored_documents(documents: DataFrame, params: CutParams = CutParams()) -> D
     z = y.join(salted(fitted), ["src", "grp", "cat", "salt"], "left").join(salted(totals), ["src", "salt"], "left")
     # A known word has its own ratio, by how often it ends texts and cuts; what cut texts add to the former is taken off.
     p_cut = (F.col("all_cut") + 0.5) / (F.col("n_cut") + 1.0)
-    from_cuts = F.least(2 * F.col("share"), F.lit(0.1)) * F.col("n_seen") * p_cut
+    from_cuts = F.least(2 * F.col("share"), F.lit(0.3)) * F.col("n_seen") * p_cut
     own_whole = F.greatest(F.col("others") - from_cuts - F.sqrt(from_cuts), 0.1 * F.col("others")) / F.greatest(F.col("n_seen"), F.lit(1))
     ratio = F.when(F.col("others") > 0, F.when(F.col("kind").startswith("stop"), F.col("ratio")).otherwise(p_cut / F.greatest(own_whole, F.lit(1e-9)))).otherwise(F.col("ratio"))
     # dots are an author's own, or the mark of a cut at a limit: they say nothing beyond the length

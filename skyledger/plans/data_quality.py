@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skyledger.operators.regular_grid import telemetry_grid, unobserved_cells
 from skyledger.operators.rejects import loaded_lines, rejected_lines
-from skyledger.operators.schema_drift import consistent_records, schema_changes, schema_registry
+from skyledger.operators.schema_drift import QUANTITIES, consistent_records, schema_changes, schema_registry
 from skyledger.operators.spikes import implausible_telemetry
 from skyledger.tables import table
 
@@ -19,21 +19,9 @@ QUERIES = {
     "p5_registry": lambda s, d: schema_registry(table(s, d, "log_files"), table(s, d, "log_records")),
 }
 
-SQL = {
-    "p2_found": """
-WITH s AS (SELECT DISTINCT flight_id, seq, t_sec, lat, lon, height_m, grid_s AS g, CAST(FLOOR(t_sec / grid_s) AS BIGINT) AS c
-           FROM telemetry JOIN log_formats USING (format_detected) WHERE t_sec IS NOT NULL),
-r AS (SELECT *, SUM(CASE WHEN t_sec - p > 900 THEN 1 ELSE 0 END) OVER (PARTITION BY flight_id ORDER BY t_sec) AS run
-      FROM (SELECT *, LAG(t_sec) OVER (PARTITION BY flight_id ORDER BY t_sec) AS p FROM s)),
-span AS (SELECT flight_id, run, MIN(c) AS a, MAX(c) AS b FROM r GROUP BY ALL),
-cells AS (SELECT DISTINCT flight_id, UNNEST(range(a, b + 1)) AS cell_no FROM span),
-f AS (SELECT flight_id, cell_no, field_name FROM cells CROSS JOIN (VALUES ('lat'), ('lon'), ('height_m')) AS n(field_name)),
-v AS (SELECT flight_id, c AS cell_no, 'lat' AS field_name, lat AS v FROM s UNION ALL SELECT flight_id, c, 'lon', lon FROM s
-      UNION ALL SELECT flight_id, c, 'height_m', height_m FROM s),
-seen AS (SELECT DISTINCT flight_id, cell_no, field_name FROM v WHERE v IS NOT NULL AND NOT isnan(v))
-SELECT flight_id, CAST(cell_no AS BIGINT) AS cell_no, field_name FROM f ANTI JOIN seen USING (flight_id, cell_no, field_name)
-""",
-    "p3_found": r"""
+_NAMES = ", ".join(f"('{n}', '{q}')" for q, names in QUANTITIES.items() for n in names)
+
+_LINES = r"""
 WITH l AS (SELECT DISTINCT file_id, line_no, regexp_replace(replace(coalesce(line_text, ''), chr(0), ''), '\r$', '') AS txt FROM raw_lines),
 c AS (SELECT *, regexp_full_match(txt, '(?:[ \t]*"(?:[^"]|"")*"[ \t]*|[^",]*)(?:,(?:[ \t]*"(?:[^"]|"")*"[ \t]*|[^",]*))*') AS quoted,
       list_transform(regexp_extract_all(',' || txt, ',([ \t]*"(?:[^"]|"")*"[ \t]*|[^",]*)', 1),
@@ -53,6 +41,45 @@ f AS (SELECT file_id, line_no, CASE
       WHEN NOT coalesce(regexp_full_match(lat, '[+-]?(\d+\.\d*|\.\d+)([eE][+-]?\d+)?') AND try_cast(ltrim(lat, '+') AS DOUBLE) BETWEEN -90 AND 90, false) THEN 'lat'
       WHEN a AND NOT (vid IN ('', '0', '1', 'True', 'False', 'true', 'false')) THEN 'is_video'
       WHEN NOT a AND NOT (vid IN ('0', '1')) THEN 'is_video' END AS fault FROM j)
-SELECT file_id, line_no, min(fault) AS fault FROM f WHERE fault IS NOT NULL GROUP BY file_id, line_no
+"""
+
+SQL = {
+    "p5_found": f"""
+WITH q(key, q) AS (VALUES {_NAMES}),
+f AS (SELECT file_id, min(aircraft_id) AS a, min(exported_at) AS t FROM log_files WHERE file_kind = 'json' GROUP BY 1),
+o AS (SELECT file_id, lag(file_id) OVER (PARTITION BY a ORDER BY t, file_id) AS p FROM f WHERE a IS NOT NULL AND t IS NOT NULL),
+r AS (SELECT DISTINCT file_id, rec_no, payload FROM log_records),
+k AS (SELECT r.file_id, e.key, CASE e.type WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind, count(*) AS n FROM r, json_each(r.payload) e GROUP BY ALL),
+ty AS (SELECT file_id, k.key, coalesce(any_value(q.q), k.key) AS q, arg_max(kind, n * 10 + CASE kind WHEN 'number' THEN 3 WHEN 'boolean' THEN 2 ELSE 1 END) FILTER (WHERE kind IS NOT NULL) AS kind FROM k LEFT JOIN q ON k.key = q.key GROUP BY 1, 2),
+nw AS (SELECT o.file_id, ty.key, ty.q, ty.kind FROM o JOIN ty ON ty.file_id = o.file_id WHERE p IS NOT NULL),
+od AS (SELECT o.file_id, ty.key, ty.q, ty.kind FROM o JOIN ty ON ty.file_id = o.p WHERE p IS NOT NULL),
+come AS (SELECT *, row_number() OVER (PARTITION BY file_id, q ORDER BY key) AS i FROM nw ANTI JOIN od USING (file_id, key)),
+gone AS (SELECT *, row_number() OVER (PARTITION BY file_id, q ORDER BY key) AS i FROM od ANTI JOIN nw USING (file_id, key)),
+b AS (SELECT coalesce(come.file_id, gone.file_id) AS file_id, gone.key AS g, come.key AS c, gone.kind AS gk, come.kind AS ck FROM come FULL JOIN gone ON come.file_id = gone.file_id AND come.q = gone.q AND come.i = gone.i)
+SELECT file_id, CASE WHEN g IS NULL THEN 'added' WHEN c IS NULL THEN 'removed' ELSE 'renamed' END AS change_kind, coalesce(g, '') AS old_name, coalesce(c, '') AS new_name FROM b
+UNION ALL SELECT file_id, 'retyped', c, c FROM b WHERE gk <> ck
+UNION ALL SELECT file_id, 'retyped', nw.key, nw.key FROM nw JOIN od USING (file_id, key) WHERE nw.kind <> od.kind
+""",
+    "p2_found": """
+WITH s AS (SELECT DISTINCT flight_id, seq, t_sec, lat, lon, height_m, grid_s AS g, CAST(FLOOR(t_sec / grid_s) AS BIGINT) AS c
+           FROM telemetry JOIN log_formats USING (format_detected) WHERE t_sec IS NOT NULL),
+r AS (SELECT *, SUM(CASE WHEN t_sec - p > 900 THEN 1 ELSE 0 END) OVER (PARTITION BY flight_id ORDER BY t_sec) AS run
+      FROM (SELECT *, LAG(t_sec) OVER (PARTITION BY flight_id ORDER BY t_sec) AS p FROM s)),
+span AS (SELECT flight_id, run, MIN(c) AS a, MAX(c) AS b FROM r GROUP BY ALL),
+cells AS (SELECT DISTINCT flight_id, UNNEST(range(a, b + 1)) AS cell_no FROM span),
+f AS (SELECT flight_id, cell_no, field_name FROM cells CROSS JOIN (VALUES ('lat'), ('lon'), ('height_m')) AS n(field_name)),
+v AS (SELECT flight_id, c AS cell_no, 'lat' AS field_name, lat AS v FROM s UNION ALL SELECT flight_id, c, 'lon', lon FROM s
+      UNION ALL SELECT flight_id, c, 'height_m', height_m FROM s),
+seen AS (SELECT DISTINCT flight_id, cell_no, field_name FROM v WHERE v IS NOT NULL AND NOT isnan(v))
+SELECT flight_id, CAST(cell_no AS BIGINT) AS cell_no, field_name FROM f ANTI JOIN seen USING (flight_id, cell_no, field_name)
+""",
+    "p3_found": _LINES + """SELECT file_id, line_no, min(fault) AS fault FROM f WHERE fault IS NOT NULL GROUP BY file_id, line_no
+""",
+    "p3_loaded": _LINES
+    + """, bad AS (SELECT DISTINCT file_id, line_no FROM f WHERE fault IS NOT NULL),
+g AS (SELECT DISTINCT j.* FROM j ANTI JOIN bad USING (file_id, line_no)),
+n AS (SELECT *, CASE WHEN a THEN ['CUSTOM.updateTime', 'OSD.latitude', 'OSD.longitude', 'OSD.height [m]', 'GIMBAL.yaw', 'GIMBAL.pitch', 'GIMBAL.roll'] ELSE ['datetime(utc)', 'latitude', 'longitude', 'height_above_takeoff(meters)', 'gimbal_heading(degrees)', 'gimbal_pitch(degrees)', 'gimbal_roll(degrees)'] END AS w FROM g)
+SELECT file_id, line_no, CASE WHEN a THEN 'A' ELSE 'B' END AS format, try_strptime(substr(replace(tm, '/', '-'), 1, 19), '%Y-%m-%d %H:%M:%S') AS sampled_at, try_cast(cells[list_position(names, w[2])] AS DOUBLE) AS lat, try_cast(cells[list_position(names, w[3])] AS DOUBLE) AS lon, try_cast(cells[list_position(names, w[4])] AS DOUBLE) AS height_m,
+CASE WHEN a THEN vid NOT IN ('', '0', 'False', 'false') ELSE vid = '1' END AS is_video, try_cast(cells[list_position(names, w[5])] AS DOUBLE) AS yaw_deg, try_cast(cells[list_position(names, w[6])] AS DOUBLE) AS pitch_deg, try_cast(cells[list_position(names, w[7])] AS DOUBLE) AS roll_deg FROM n
 """,
 }

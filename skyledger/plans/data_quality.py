@@ -74,6 +74,25 @@ seen AS (SELECT DISTINCT flight_id, cell_no, field_name FROM v WHERE v IS NOT NU
 SELECT flight_id, CAST(cell_no AS BIGINT) AS cell_no, field_name FROM f ANTI JOIN seen USING (flight_id, cell_no, field_name)
 """,
     "p3_found": _LINES + """SELECT file_id, line_no, min(fault) AS fault FROM f WHERE fault IS NOT NULL GROUP BY file_id, line_no
+""",
+    "p2_grid": """
+WITH s AS (SELECT DISTINCT flight_id, seq, t_sec, lat, lon, height_m, grid_s AS g, CAST(FLOOR(t_sec / grid_s) AS BIGINT) AS c
+           FROM telemetry JOIN log_formats USING (format_detected) WHERE t_sec IS NOT NULL),
+r AS (SELECT *, SUM(CASE WHEN t_sec - p > 900 THEN 1 ELSE 0 END) OVER (PARTITION BY flight_id ORDER BY t_sec) AS run
+      FROM (SELECT *, LAG(t_sec) OVER (PARTITION BY flight_id ORDER BY t_sec) AS p FROM s)),
+span AS (SELECT flight_id, run, any_value(g) AS g, MIN(c) AS a, MAX(c) AS b FROM r GROUP BY flight_id, run),
+cells AS (SELECT DISTINCT flight_id, g, UNNEST(range(a, b + 1)) AS k FROM span),
+v AS (SELECT flight_id, c, 'lat' AS n, t_sec AS t, lat AS v FROM s WHERE lat IS NOT NULL AND NOT isnan(lat) UNION ALL SELECT flight_id, c, 'lon', t_sec, lon FROM s WHERE lon IS NOT NULL AND NOT isnan(lon)
+      UNION ALL SELECT flight_id, c, 'height_m', t_sec, height_m FROM s WHERE height_m IS NOT NULL AND NOT isnan(height_m)),
+o AS (SELECT flight_id, c, n, arg_min(v, t) AS v FROM v GROUP BY ALL),
+f AS (SELECT flight_id, g, k, n, k * g AS g0, (k + 1) * g AS till FROM cells CROSS JOIN (VALUES ('lat'), ('lon'), ('height_m')) AS x(n)),
+p AS (SELECT f.*, v.t AS pt, v.v AS pv FROM f ASOF LEFT JOIN v ON f.flight_id = v.flight_id AND f.n = v.n AND f.g0 > v.t),
+m AS (SELECT p.*, v.t AS nt, v.v AS nv FROM p ASOF LEFT JOIN v ON p.flight_id = v.flight_id AND p.n = v.n AND p.till <= v.t),
+z AS (SELECT m.*, o.v AS ov, coalesce(nt - pt <= 10 * g, false) AS inside, coalesce(nt - pt > 900, true) AS alone, coalesce(g0 - pt <= 10 * g, false) AS near_p, coalesce(nt - g0 <= 10 * g, false) AS near_n
+      FROM m LEFT JOIN o ON m.flight_id = o.flight_id AND m.k = o.c AND m.n = o.n)
+SELECT flight_id, CAST(k AS BIGINT) AS cell_no, n AS field_name,
+  CASE WHEN ov IS NOT NULL THEN ov WHEN inside THEN pv + (nv - pv) * (g0 - pt) / (nt - pt) WHEN alone AND near_p THEN pv WHEN alone AND near_n THEN nv END AS value,
+  CASE WHEN ov IS NOT NULL THEN 'observed' WHEN inside THEN 'interpolated' WHEN alone AND (near_p OR near_n) THEN 'held' ELSE 'gap' END AS status FROM z
 """,
     "p3_loaded": _LINES
     + """, bad AS (SELECT DISTINCT file_id, line_no FROM f WHERE fault IS NOT NULL),

@@ -25,6 +25,7 @@ RULES = [
     ("B", "latitude", "lat", 4),
     ("B", "isVideo", "video_b", 5),
 ]
+BROADCAST_FILES = 10_000  # headers, a few hundred bytes each
 FAULTS = {1: "quoting", 2: "column_count", 3: "t_sec", 4: "lat", 5: "is_video", 9: "no_header"}
 
 
@@ -64,17 +65,22 @@ def _holds(rule: Column, v: Column) -> Column:
 def _lines(raw: DataFrame, salts: int) -> DataFrame:
     """Every line after the header with its cleaned text, its file's columns and format, its own cells.
 
-    A file may hold a third of all lines: the headers, one small row per file, are repeated
-    `salts` times and the lines meet them by (file, salt).
+    The headers are one small row per file. Up to `BROADCAST_FILES` of them (counted first, over the
+    header lines alone) go to every executor and no line moves. Beyond that a file may hold a third of
+    all lines: headers are repeated `salts` times and the lines meet them by (file, salt).
     """
     rows = raw.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("line_no").cast("int").alias("line_no"), _clean(F.col("line_text")).alias("text"))
     rows = rows.where(F.col("file_id").isNotNull() & F.col("line_no").isNotNull())
     head = rows.where("line_no = 1").groupBy("file_id").agg(F.min("text").alias("head"))
     head = head.withColumn("names", _cells(F.regexp_replace("head", "^\\ufeff", "")))
     fmt = F.when(F.array_contains("names", "CUSTOM.updateTime"), "A").when(F.array_contains("names", "datetime(utc)"), "B")
-    head = head.select("file_id", "names", fmt.alias("fmt"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    body = rows.where("line_no > 1").withColumn("salt", F.pmod(F.xxhash64("line_no"), F.lit(salts)).cast("int"))
-    x = body.join(head, ["file_id", "salt"], "left").drop("salt")
+    head = head.select("file_id", "names", fmt.alias("fmt"))
+    body = rows.where("line_no > 1")
+    if raw.where("line_no = 1").select("file_id").distinct().limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES:
+        x = body.join(F.broadcast(head), "file_id", "left")
+    else:
+        salted = head.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        x = body.withColumn("salt", F.pmod(F.xxhash64("line_no"), F.lit(salts)).cast("int")).join(salted, ["file_id", "salt"], "left").drop("salt")
     quoted = F.col("text").rlike(LINE)
     return x.withColumns({"quoted": quoted, "cells": F.when(quoted, _cells(F.col("text")))})
 

@@ -148,7 +148,9 @@ def test_grid_values(spark):
 HEAD = "CUSTOM.updateTime,GIMBAL.yaw,GIMBAL.pitch,GIMBAL.roll,OSD.height [m],CUSTOM.isVideo,OSD.latitude,OSD.longitude"
 
 
-def test_rejected_lines(spark):
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_rejected_lines(spark, monkeypatch, broadcast):
+    monkeypatch.setattr("skyledger.operators.rejects.BROADCAST_FILES", broadcast)
     good = ["2025/01/22 08:37:13.009,1,2,3,4,False,35.27,41.7", '"2025/01/22 08:37:13","1","2","3","4","","+3.5e1"," 41.7 "', "2025/01/22 08:37:13,1,2,3,4, True ,-.5,41\r", "2025/\x0001/22 08:37:13,,,,,1,90.0,"]
     bad = {
         '2025/01/22 08:37:13,1,2,3,4,0,35"1,41': "quoting",

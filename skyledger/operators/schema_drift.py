@@ -11,7 +11,7 @@ a file's predecessor is found inside buckets of time, so no source is one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyledger.operators.blocks import previous_row
@@ -54,15 +54,10 @@ def quantity(key: Column) -> Column:
     return F.coalesce(F.try_element_at(known, key), F.concat(F.lit("~"), F.regexp_replace(bare, "[^a-z0-9]", "")))
 
 
-def _values(records: DataFrame) -> DataFrame:
-    """(file_id, rec_no, key, kind, text): one row per key of each record; repeated records once."""
-    rows = records.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("rec_no").cast("int").alias("rec_no"), "payload").where("file_id is not null and payload is not null")
-    spark = records.sparkSession
-    parsed = rows.distinct().withColumn("doc", F.try_parse_json("payload"))
-    parsed = parsed.where(F.schema_of_variant("doc").startswith("OBJECT"))
-    out = parsed.alias("r").lateralJoin(spark.tvf.variant_explode(F.col("r.doc").outer()).alias("x"))
-    name = F.schema_of_variant("value")
-    kind = (
+def _kind(value: Column) -> Column:
+    """The JSON type of a value, null for null."""
+    name = F.schema_of_variant(value)
+    return (
         F.when(name == "VOID", None)
         .when(name == "BOOLEAN", "boolean")
         .when(name == "STRING", "string")
@@ -70,7 +65,20 @@ def _values(records: DataFrame) -> DataFrame:
         .when(name.startswith("ARRAY"), "array")
         .otherwise("number")
     )
-    return out.select("file_id", "rec_no", "key", kind.alias("kind"), F.when(kind.isNotNull(), F.try_variant_get("value", "$", "string")).alias("text"))
+
+
+def _objects(records: DataFrame) -> DataFrame:
+    """(file_id, rec_no, payload, entries): the keys and values of payloads that are JSON objects."""
+    rows = records.select(F.col("file_id").cast("bigint").alias("file_id"), F.col("rec_no").cast("int").alias("rec_no"), "payload").where("file_id is not null and payload is not null")
+    return rows.withColumn("entries", F.map_entries(F.from_json("payload", "map<string,variant>"))).where("entries is not null")
+
+
+def _values(records: DataFrame) -> DataFrame:
+    """(file_id, rec_no, key, kind, text): one row per key of each record; repeated records once."""
+    rows = records.select("file_id", "rec_no", "payload").distinct()
+    out = _objects(rows).select("file_id", "rec_no", F.explode_outer("entries").alias("e"))
+    kind = _kind(F.col("e.value"))
+    return out.select("file_id", "rec_no", "e.key", kind.alias("kind"), F.when(kind.isNotNull(), F.try_variant_get("e.value", "$", "string")).alias("text"))
 
 
 def fingerprints(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -78,10 +86,19 @@ def fingerprints(files: DataFrame, records: DataFrame) -> DataFrame:
 
     The type of a field is that of most of its non-null values, ties going to number, boolean,
     string, array, object in this order, null if it has none. A file without a readable record
-    has no fields. Payloads that aren't JSON objects (or repeat a key) give no field.
+    has no fields. Payloads that aren't JSON objects give no field. What moves of a record is its
+    shape, the list of its keys and types, and records of a file share few shapes.
     """
     kinds = ["number", "boolean", "string", "array", "object"]
-    per_key = _values(records).groupBy("file_id", "key").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in kinds])
+    # the type is worked out once per value; its first two letters tell the kinds apart
+    typed = F.transform("entries", lambda e: F.struct(e["key"].alias("key"), F.substring(F.schema_of_variant(e["value"]), 1, 2).alias("t")))
+    code = lambda t: F.when(t == "VO", "-").when(t == "BO", "b").when(t == "ST", "s").when(t == "OB", "o").when(t == "AR", "a").otherwise("n")
+    shape = F.array_join(F.array_sort(F.transform(typed, lambda e: F.concat(code(e["t"]), e["key"]))), "\u0001")
+    part = F.floor(F.col("rec_no") / 1024)  # bounds a set of record numbers, whatever the size of the file
+    shapes = _objects(records).select("file_id", "rec_no", shape.alias("shape")).groupBy("file_id", "shape", part.alias("part")).agg(F.size(F.collect_set(F.coalesce("rec_no", F.lit(-1)))).alias("n"))
+    keys = shapes.groupBy("file_id", "shape").agg(F.sum("n").alias("n")).select("file_id", "n", F.explode(F.split("shape", "\u0001")).alias("k")).where("k <> ''")
+    keys = keys.select("file_id", "n", F.substring("k", 1, 1).alias("kind"), F.expr("substring(k, 2)").alias("key"))
+    per_key = keys.groupBy("file_id", "key").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k[0], F.col("n"))), F.lit(0)).alias(k) for k in kinds])
     best = F.array_max(F.array(*[F.struct(F.col(k).alias("n"), F.lit(-i).alias("rank"), F.lit(k).alias("kind")) for i, k in enumerate(kinds)]))
     kind = F.when(best["n"] > 0, best["kind"])
     per_file = per_key.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("key", kind.alias("kind")))).alias("fields"))

@@ -210,8 +210,8 @@ st AS (SELECT p_partkey AS triangle_id, p_type AS semantic, CASE WHEN kept THEN
 
 
 def coverage(s, d):
-    """Triangles by whether any frame, or a kept frame, sees them (frames ending 0-2 of those ending 0-5 are kept)."""
-    v = table(s, d, "lineitem").where("l_suppkey % 10 < 6 and l_linenumber <= 2").groupBy(c("l_partkey").alias("tri")).agg(F.max(c("l_suppkey") % 10 < 3).alias("kept"), F.min("l_discount").alias("best"))
+    """Triangles by whether any frame, or a kept frame, sees them, over every row of the ledger (even frames are kept)."""
+    v = A.visibility(s, d).groupBy(c("triangle_id").alias("tri")).agg(F.max(F.pmod("frame_idx", F.lit(2)) == 0).alias("kept"), F.min("view_angle").alias("best"))
     t = table(s, d, "part").select(c("p_partkey").alias("triangle_id"), c("p_type").alias("semantic"))
     x = t.join(v, c("triangle_id") == c("tri"), "left")
     return x.select("triangle_id", "semantic", F.when(c("kept"), "observed").when(c("tri").isNotNull(), "observable_but_dropped").otherwise("never_observable").alias("status"), "best")

@@ -39,3 +39,38 @@ def test_coverage_takes_every_row_of_the_ledger(spark, tmp_path):
 def test_coverage_equals_the_whole_ledger_in_duckdb(spark):
     want = sql("SELECT p_partkey, p_type, CASE WHEN bool_or(l_suppkey % 2 = 0) THEN 'observed' WHEN count(l_suppkey) > 0 THEN 'observable_but_dropped' ELSE 'never_observable' END, min(l_discount) FROM {part} LEFT JOIN {lineitem} ON p_partkey = l_partkey GROUP BY ALL")
     assert sorted(run(spark, "e16_e17_fa15_coverage")) == sorted(want)
+
+
+def least_reachable(edges):
+    up = {}
+
+    def top(v):
+        while up.setdefault(v, v) != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return {v: top(v) for v in up}
+
+
+def test_components_take_every_edge_and_fold_no_vertex(spark, tmp_path):
+    # orders 1 and 3001 share no part, nor do parts 5 and 3005; an order and a part of equal number are two vertices
+    rows = [(1, 5, 1, 50.0), (1, 6, 2, 1.0), (3001, 3005, 7, 1.0), (3001, 7, 7, 30.0), (9, 1, 7, 1.0)]
+    save(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_partkey long, l_linenumber long, l_quantity double")
+    want = {2: 2, 11: 2, 13: 2, 6002: 15, 6011: 15, 15: 15, 18: 3, 3: 3}
+    assert dict(run(spark, "k10_components", tmp_path)) == want
+
+
+def test_components_of_the_whole_table(spark):
+    want = least_reachable(sql("SELECT l_orderkey * 2, l_partkey * 2 + 1 FROM {lineitem}"))
+    assert dict(run(spark, "k10_components")) == want
+
+
+def test_the_five_largest_components_of_four_vertices_stay(spark, tmp_path):
+    rows = [(100 * g + o, 100 * g, 1, 50.0) for g in range(1, 8) for o in range(1, g + 1)]  # g orders at one part: g + 1 vertices
+    save(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_partkey long, l_linenumber long, l_quantity double")
+    labels = run(spark, "d13_h4_small_components", tmp_path)
+    sizes = sorted(sum(x[1] == m for x in labels) for m in {x[1] for x in labels})
+    assert sizes == [4, 5, 6, 7, 8]

@@ -50,8 +50,8 @@ online AS (SELECT *, CASE WHEN obs_count <= 1 THEN least(c0, 0.55) ELSE c0 END A
 
 def accumulate(s, d):
     """Mergeable evidence per primitive: every part is a count, sum, minimum or maximum."""
-    o = table(s, d, "lineitem").where("l_partkey % 1000 < 900").select(
-        (c("l_partkey") % 1000).alias("id"),
+    o = table(s, d, "lineitem").select(
+        c("l_partkey").alias("id"),
         c("l_discount").alias("a"),
         (c("l_tax") / F.lit(0.08)).alias("k"),
         (F.lit(0.5) + c("l_linenumber").cast("double") / 14.0).alias("q"),
@@ -84,7 +84,7 @@ BLEND_SQL = f"{ACC}, {PRIOR_SQL}, blend AS (SELECT prior.id, prior, coalesce(obs
 
 def blended(s, d):
     """A primitive with evidence takes half of it and half its prior; one without keeps its prior."""
-    prior = table(s, d, "part").where("p_partkey < 1000").select(c("p_partkey").alias("id"), (c("p_size").cast("double") / 50.0).alias("prior"))
+    prior = table(s, d, "part").select(c("p_partkey").alias("id"), (c("p_size").cast("double") / 50.0).alias("prior"))
     x = prior.join(online_confidence(accumulate(s, d)).select("id", "obs_count", "confidence"), "id", "left")
     conf = F.when(c("obs_count") > 0, F.lit(0.5) * c("confidence") + F.lit(0.5) * c("prior")).otherwise(c("prior"))
     return x.select("id", "prior", F.coalesce("obs_count", F.lit(0)).alias("obs_count"), conf.alias("confidence"))

@@ -74,3 +74,46 @@ def test_the_five_largest_components_of_four_vertices_stay(spark, tmp_path):
     labels = run(spark, "d13_h4_small_components", tmp_path)
     sizes = sorted(sum(x[1] == m for x in labels) for m in {x[1] for x in labels})
     assert sizes == [4, 5, 6, 7, 8]
+
+
+def test_accumulators_keep_every_primitive_apart(spark, tmp_path):
+    rows = [(5, 1, 1, 0.01, 0.04), (1005, 2, 2, 0.03, 0.08), (1005, 3, 1, 0.02, 0.08), (2950, 4, 1, 0.05, 0.0)]
+    save(spark, tmp_path, "lineitem", rows, "l_partkey long, l_orderkey long, l_linenumber long, l_discount double, l_tax double")
+    save(spark, tmp_path, "part", [(5, 10), (1005, 20), (2950, 30), (7000, 40)], "p_partkey long, p_size int")
+    assert {x[0]: x[1:4] for x in run(spark, "fa3_accumulators", tmp_path)} == {5: (1, 0.01, 0.01), 1005: (2, 0.02, 0.03), 2950: (1, 0.05, 0.05)}
+    assert {x[0] for x in run(spark, "fa4_accumulator_confidence", tmp_path)} == {5, 1005, 2950}
+    blended = {x[0]: x[1:] for x in run(spark, "fa5_a14_blended", tmp_path)}
+    assert {k: v[1] for k, v in blended.items()} == {5: 1, 1005: 2, 2950: 1, 7000: 0}
+    assert blended[7000] == (0.8, 0, 0.8)  # a part without rows keeps its prior
+
+
+WHOLE = {
+    "l_partkey % 1000 AS id": "l_partkey AS id", " WHERE l_partkey % 1000 < 900": "", " WHERE p_partkey < 1000": "",
+    " AND id < 40": "",
+}
+
+
+def whole_sql(name, d):
+    """The registered SQL without the filters that made it state a part, run by DuckDB."""
+    import os
+
+    text = entry.oracle_sql()[name]
+    for old, new in WHOLE.items():
+        text = text.replace(old, new)
+    con = duckdb.connect()
+    for n in ("lineitem", "part", "supplier"):
+        at = f"{d}/{n}.parquet"
+        con.execute(f"CREATE VIEW {n} AS SELECT * FROM '{at + '/*.parquet' if os.path.isdir(at) else at}'")
+    return con.execute(text).fetchall()
+
+
+def same(got, want, within=1e-6):
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got), sorted(want)):
+        assert all(x == (pytest.approx(y, abs=within) if isinstance(y, float) else y) for x, y in zip(a, b)), (a, b)
+
+
+@pytest.mark.parametrize("name", ["fa3_accumulators", "fa4_accumulator_confidence", "fa5_a14_blended", "d15_densify_prune", "h3_densify_budget", "k20_k24_clone_split_resize"])
+def test_gates_and_budget_report_on_all_parts(spark, name):
+    d = "/root/testdata/sf0.01"
+    same(run(spark, name, d), whole_sql(name, d), 2e-6)

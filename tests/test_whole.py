@@ -117,3 +117,10 @@ def same(got, want, within=1e-6):
 def test_gates_and_budget_report_on_all_parts(spark, name):
     d = "/root/testdata/sf0.01"
     same(run(spark, name, d), whole_sql(name, d), 2e-6)
+
+
+@pytest.mark.parametrize("d", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])  # one block and eight
+def test_distances_are_of_every_pair_of_buildings(spark, d):
+    want = whole_sql("e8_fa12_distances", d)
+    assert any(b >= 40 for _, b, *_ in want)
+    same(run(spark, "e8_fa12_distances", d), want, 2e-6)

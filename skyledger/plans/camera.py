@@ -90,10 +90,17 @@ def _(s, d):
 
 @query("c29_padding_geometry", "SELECT o_orderkey AS id, CAST((518 - floor((320 + o_orderkey % 400) / 14) * 14) / 2 AS BIGINT) AS pad_left, CAST(floor((320 + o_orderkey % 400) / 14) * 14 AS BIGINT) AS width FROM orders WHERE floor((320 + o_orderkey % 400) / 14) * 14 <= 518".replace("floor((320 + o_orderkey % 400) / 14)", "((320 + o_orderkey % 400) // 14)").replace("CAST((518 - ((320 + o_orderkey % 400) // 14) * 14) / 2 AS BIGINT)", "CAST((518 - ((320 + o_orderkey % 400) // 14) * 14) // 2 AS BIGINT)"))
 def _(s, d):
-    """Width as a multiple of 14, centred in 518."""
-    w = (F.floor((F.lit(320) + c("o_orderkey") % 400) / 14) * 14).cast("bigint")
-    x = table(s, d, "orders").select(c("o_orderkey").alias("id"), w.alias("width")).where("width <= 518")
-    return x.select("id", F.floor((F.lit(518) - c("width")) / 2).cast("bigint").alias("pad_left"), "width")
+    """The longest side scaled to 518, the other to a multiple of 14, both centred, the top 8 % of the image masked.
+
+    Images are 320 to 719 wide and 240 to 539 high by order number. Halves round to even, as in Python.
+    """
+    size, top = F.lit(518), 0.08
+    w0, h0 = F.lit(320) + c("o_orderkey") % 400, F.lit(240) + c("o_orderkey") % 300
+    short = lambda a, b: F.least(size, F.rint(a * (size / b) / 14.0).cast("bigint") * 14).cast("bigint")
+    wide = w0 >= h0
+    x = table(s, d, "orders").select(c("o_orderkey").alias("id"), F.when(wide, size).otherwise(short(w0, h0)).cast("bigint").alias("width"), F.when(wide, short(h0, w0)).otherwise(size).cast("bigint").alias("height"))
+    pad = lambda n: F.floor((size - c(n)) / 2).cast("bigint")
+    return x.select("id", pad("width").alias("pad_left"), "width", pad("height").alias("pad_top"), "height", F.rint(c("height") * top).cast("bigint").alias("crop_top"))
 
 
 @query("c30_k6_expected_flow", f"WITH {POSE}, n AS (SELECT *, lead(px) OVER o AS nx, lead(py) OVER o AS ny, lead(pz) OVER o AS nz FROM q WINDOW o AS (PARTITION BY flight_id ORDER BY pose_no)), f AS (SELECT flight_id, pose_no, cx, cy, cz, (10 - nx) * w00 + (20 - ny) * w10 - nz * w20 AS ex, (10 - nx) * w01 + (20 - ny) * w11 - nz * w21 AS ey, (10 - nx) * w02 + (20 - ny) * w12 - nz * w22 AS ez FROM n WHERE nx IS NOT NULL) SELECT flight_id, pose_no, cz > 1 AND ez > 1 AS valid, CASE WHEN cz > 1 AND ez > 1 THEN round(sqrt(pow(300 * ex / ez - 300 * cx / cz, 2) + pow(300 * ey / ez - 300 * cy / cz, 2)), 3) END AS flow_px FROM f")

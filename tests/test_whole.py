@@ -124,3 +124,15 @@ def test_distances_are_of_every_pair_of_buildings(spark, d):
     want = whole_sql("e8_fa12_distances", d)
     assert any(b >= 40 for _, b, *_ in want)
     same(run(spark, "e8_fa12_distances", d), want, 2e-6)
+
+
+def test_padding_loses_no_image(spark):
+    got = {x[0]: x[1:] for x in run(spark, "c29_padding_geometry")}
+    ids = [x[0] for x in sql("SELECT o_orderkey FROM {orders}")]
+    assert len(got) == len(ids)
+    for i in ids:
+        w, h = 320 + i % 400, 240 + i % 300
+        long = 518 / max(w, h)
+        new_w = 518 if w >= h else min(518, round(w * long / 14) * 14)
+        new_h = 518 if w < h else min(518, round(h * long / 14) * 14)
+        assert got[i] == ((518 - new_w) // 2, new_w, (518 - new_h) // 2, new_h, round(new_h * 0.08)), i

@@ -270,6 +270,17 @@ def _(s, d):
     return t.agg(F.count(F.lit(1)).alias("n"), r(F.sum("area"), 3).alias("area"), r(F.percentile("area", F.lit(0.5))).alias("area_p50"), r(F.percentile("area", F.lit(0.99))).alias("area_p99"), F.count(F.when(c("area") < 1e-10, 1)).alias("n_flat"))
 
 
+@query("fa21_mesh_components")
+def _(s, d):
+    """Connected parts of the whole mesh (a vertex without faces is its own), the share of the largest, and the extent."""
+    v = A.gaussians(s, d).select("id", "x", "y", "z")
+    labels = components(face_edges(A.faces(s, d)).select("a", "b"), v.select(c("id").alias("v")))
+    sizes = labels.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    n = sizes.agg(F.count(F.lit(1)).alias("n_components"), (F.max("size") / F.sum("size")).alias("largest_frac"))
+    box = v.agg(*[f(a).alias(f"{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in "xyz"])
+    return n.crossJoin(F.broadcast(box)).select(F.coalesce("n_components", F.lit(0)).alias("n_components"), r(F.coalesce("largest_frac", F.lit(0.0))).alias("largest_frac"), *[r(c(x)).alias(x) for x in box.columns])
+
+
 CE_SQL = "e0 AS (SELECT l_orderkey % 3000 AS a, l_partkey % 3000 AS b FROM lineitem WHERE l_linenumber = 7 AND l_quantity < 20), e2 AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0)), reach(v, m) AS (SELECT DISTINCT a, a FROM e2 UNION SELECT e2.b, reach.m FROM reach JOIN e2 ON reach.v = e2.a), lab AS (SELECT v, min(m) AS component FROM reach GROUP BY 1)"
 
 

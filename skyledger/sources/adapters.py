@@ -94,9 +94,9 @@ def buildings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def faces(spark: SparkSession, d: str, n: int = 500) -> DataFrame:
-    """Triangles over `n` vertices, from lineitem."""
-    m = F.lit(n)
+def faces(spark: SparkSession, d: str, n: int | None = None) -> DataFrame:
+    """Triangles over `n` vertices (as many as the table of vertices has), from lineitem."""
+    m = F.lit(table(spark, d, "embeddings").count() if n is None else n)
     return table(spark, d, "lineitem").select(
         (c("l_orderkey") * 8 + c("l_linenumber")).alias("fid"), F.pmod("l_orderkey", m).alias("a"), F.pmod("l_partkey", m).alias("b"), F.pmod("l_suppkey", m).alias("c")
     )

@@ -136,3 +136,22 @@ def test_padding_loses_no_image(spark):
         new_w = 518 if w >= h else min(518, round(w * long / 14) * 14)
         new_h = 518 if w < h else min(518, round(h * long / 14) * 14)
         assert got[i] == ((518 - new_w) // 2, new_w, (518 - new_h) // 2, new_h, round(new_h * 0.08)), i
+
+
+def mesh(spark, path, faces, n):
+    save(spark, path, "lineitem", [(o, p, s, 1) for o, p, s in faces], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber long")
+    save(spark, path, "embeddings", [(i, 0, [i / 10.0, -i / 10.0, 0.5] + [0.0] * 61) for i in range(n)], "vec_id long, label int, embedding array<double>")
+
+
+def test_the_mesh_grows_with_its_vertices(spark, tmp_path):
+    mesh(spark, tmp_path, [(1, 2, 3), (501, 502, 503), (601, 602, 603)], 700)
+    assert run(spark, "e19_fa21_edge_topology", tmp_path) == [(9, 9, 0, 0)]  # (1, 2, 3) and (501, 502, 503) share no edge
+    assert len(run(spark, "d14_clean_faces", tmp_path)) == 3
+    assert run(spark, "fa21_face_areas", tmp_path)[0][0] == 3
+    assert {x[2] for x in run(spark, "b2_obj", tmp_path) if x[0] == "f"} == {"f 2 3 4", "f 502 503 504", "f 602 603 604"}
+
+
+def test_parts_share_and_extent_of_a_mesh(spark, tmp_path):
+    mesh(spark, tmp_path, [(1, 2, 3), (3, 4, 5), (6, 7, 8)], 10)  # parts of 5 and 3; 0 and 9 alone
+    got = run(spark, "fa21_mesh_components", tmp_path)[0]
+    assert got == pytest.approx((4, 0.5, 0.0, -9.0, 5.0, 9.0, 0.0, 5.0))

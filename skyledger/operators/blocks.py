@@ -61,3 +61,13 @@ def previous_row(df: DataFrame, key: str, order: list[str], bucket: Column, carr
     out = lagged.join(heads, (F.col(key) == F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left")
     prev = F.when(F.col("_rn") == 1, F.col("_before")).otherwise(F.col("_prev"))
     return out.select(*cols, *[prev[c].alias(prefix + c) for c in carry])
+
+
+def meet_salted(big: DataFrame, small: DataFrame, keys: list[str], by: Column, salts: int = 16, how: str = "inner") -> DataFrame:
+    """`big` joined to `small`, which has a row or few per key, where one key may hold a third of `big`.
+
+    The rows of `small` are repeated once per salt and those of `big` are spread over the salts by
+    `by`, so the hot key is `salts` tasks and nothing has to fit into memory whole.
+    """
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(spread, [*keys, "_salt"], how).drop("_salt")

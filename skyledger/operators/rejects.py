@@ -108,17 +108,21 @@ def rejected_lines(raw: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def loaded_lines(raw: DataFrame, salts: int = 16) -> DataFrame:
-    """The lines that parse, as typed samples: an anti-join with the rejected ones."""
+    """The lines that parse, as typed samples: an anti-join with the rejected ones.
+
+    Times keep their fraction of a second, to microseconds. A value no rule of `RULES` names (the
+    longitude, height and angles) that is no number is null in its row; the line loads. Of a name
+    that stands twice in a header the first column counts. Cells are picked by position, with no
+    lookup that can fail, so a filter may be evaluated on any line. Repeated lines count once. An
+    empty table gives no rows.
+    """
     good = _lines(raw, salts).join(rejected_lines(raw, salts).select("file_id", "line_no"), ["file_id", "line_no"], "left_anti")
-    row = F.map_from_arrays("names", "cells")
 
-    def of(a: str, b: str) -> Column:
-        return F.coalesce(F.try_element_at(row, F.lit(a)), F.try_element_at(row, F.lit(b)))
+    def of(*names: str) -> Column:
+        return F.coalesce(*[F.get("cells", F.array_position("names", F.lit(n)) - 1) for n in names])
 
-    time = F.coalesce(
-        F.try_to_timestamp(F.substring(F.try_element_at(row, F.lit("CUSTOM.updateTime")), 1, 19), F.lit("yyyy/MM/dd HH:mm:ss")),
-        F.try_to_timestamp(F.try_element_at(row, F.lit("datetime(utc)")), F.lit("yyyy-MM-dd HH:mm:ss")),
-    )
+    time = F.coalesce(F.replace(of("CUSTOM.updateTime"), F.lit("/"), F.lit("-")), of("datetime(utc)"))
+    time = F.substring(time, 1, 26).try_cast("timestamp")
     video = of("CUSTOM.isVideo", "isVideo")
     return good.select(
         "file_id",

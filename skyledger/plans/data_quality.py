@@ -43,6 +43,13 @@ f AS (SELECT file_id, line_no, CASE
       WHEN NOT a AND NOT (vid IN ('0', '1')) THEN 'is_video' END AS fault FROM j)
 """
 
+LOADED = _LINES + """, bad AS (SELECT DISTINCT file_id, line_no FROM f WHERE fault IS NOT NULL),
+g AS (SELECT DISTINCT j.* FROM j ANTI JOIN bad USING (file_id, line_no)),
+n AS (SELECT *, CASE WHEN a THEN ['CUSTOM.updateTime', 'OSD.latitude', 'OSD.longitude', 'OSD.height [m]', 'GIMBAL.yaw', 'GIMBAL.pitch', 'GIMBAL.roll'] ELSE ['datetime(utc)', 'latitude', 'longitude', 'height_above_takeoff(meters)', 'gimbal_heading(degrees)', 'gimbal_pitch(degrees)', 'gimbal_roll(degrees)'] END AS w FROM g)
+SELECT file_id, line_no, CASE WHEN a THEN 'A' ELSE 'B' END AS format, try_cast(substr(replace(tm, '/', '-'), 1, 26) AS TIMESTAMP) AS sampled_at, try_cast(cells[list_position(names, w[2])] AS DOUBLE) AS lat, try_cast(cells[list_position(names, w[3])] AS DOUBLE) AS lon, try_cast(cells[list_position(names, w[4])] AS DOUBLE) AS height_m,
+CASE WHEN a THEN vid NOT IN ('', '0', 'False', 'false') ELSE vid = '1' END AS is_video, try_cast(cells[list_position(names, w[5])] AS DOUBLE) AS yaw_deg, try_cast(cells[list_position(names, w[6])] AS DOUBLE) AS pitch_deg, try_cast(cells[list_position(names, w[7])] AS DOUBLE) AS roll_deg FROM n
+"""
+
 SQL = {
     "p5_found": f"""
 WITH q(key, q) AS (VALUES {_NAMES}),
@@ -94,11 +101,5 @@ SELECT flight_id, CAST(k AS BIGINT) AS cell_no, n AS field_name,
   CASE WHEN ov IS NOT NULL THEN ov WHEN inside THEN pv + (nv - pv) * (g0 - pt) / (nt - pt) WHEN alone AND near_p THEN pv WHEN alone AND near_n THEN nv END AS value,
   CASE WHEN ov IS NOT NULL THEN 'observed' WHEN inside THEN 'interpolated' WHEN alone AND (near_p OR near_n) THEN 'held' ELSE 'gap' END AS status FROM z
 """,
-    "p3_loaded": _LINES
-    + """, bad AS (SELECT DISTINCT file_id, line_no FROM f WHERE fault IS NOT NULL),
-g AS (SELECT DISTINCT j.* FROM j ANTI JOIN bad USING (file_id, line_no)),
-n AS (SELECT *, CASE WHEN a THEN ['CUSTOM.updateTime', 'OSD.latitude', 'OSD.longitude', 'OSD.height [m]', 'GIMBAL.yaw', 'GIMBAL.pitch', 'GIMBAL.roll'] ELSE ['datetime(utc)', 'latitude', 'longitude', 'height_above_takeoff(meters)', 'gimbal_heading(degrees)', 'gimbal_pitch(degrees)', 'gimbal_roll(degrees)'] END AS w FROM g)
-SELECT file_id, line_no, CASE WHEN a THEN 'A' ELSE 'B' END AS format, try_strptime(substr(replace(tm, '/', '-'), 1, 19), '%Y-%m-%d %H:%M:%S') AS sampled_at, try_cast(cells[list_position(names, w[2])] AS DOUBLE) AS lat, try_cast(cells[list_position(names, w[3])] AS DOUBLE) AS lon, try_cast(cells[list_position(names, w[4])] AS DOUBLE) AS height_m,
-CASE WHEN a THEN vid NOT IN ('', '0', 'False', 'false') ELSE vid = '1' END AS is_video, try_cast(cells[list_position(names, w[5])] AS DOUBLE) AS yaw_deg, try_cast(cells[list_position(names, w[6])] AS DOUBLE) AS pitch_deg, try_cast(cells[list_position(names, w[7])] AS DOUBLE) AS roll_deg FROM n
-""",
+    "p3_loaded": LOADED,
 }

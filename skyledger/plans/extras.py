@@ -6,9 +6,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyledger.operators.alignment import keyframe_chain, pair_sums, planar_chain
+from skyledger.operators.blocks import meet_salted
 from skyledger.operators.graph import components
 from skyledger.operators.rejects import loaded_lines
 from skyledger.plans.control import H
+from skyledger.plans.data_quality import LOADED
 from skyledger.plans.images import PX
 from skyledger.plans.telemetry import P
 from skyledger.sources import adapters as A
@@ -29,12 +31,13 @@ def query(name, sql=None):
     return add
 
 
-@query("a1_csv_samples")
+@query("a1_csv_samples", f"""WITH x AS ({LOADED}), f AS (SELECT file_id, arg_min(sampled_at, line_no) AS t0 FROM x GROUP BY 1 HAVING count(*) >= 2)
+SELECT file_id, line_no, format, (epoch_us(sampled_at) - epoch_us(t0)) / 1e6 AS t_sec, lat, lon, height_m, is_video, yaw_deg, pitch_deg, roll_deg FROM x JOIN f USING (file_id)""")
 def _(s, d):
-    """Samples of the CSV logs with seconds since the file's first good row; files with fewer than two rows give none."""
+    """Samples of the CSV logs with seconds (to microseconds) since the file's first good row; files with fewer than two rows give none."""
     x = loaded_lines(table(s, d, "raw_lines"))
     f = x.groupBy("file_id").agg(F.min_by("sampled_at", "line_no").alias("t0"), F.count(F.lit(1)).alias("n")).where("n >= 2")
-    x = x.join(f, "file_id")
+    x = meet_salted(x, f, ["file_id"], c("line_no"))
     return x.select("file_id", "line_no", "format", ((F.unix_micros("sampled_at") - F.unix_micros("t0")) / 1e6).alias("t_sec"), "lat", "lon", "height_m", "is_video", "yaw_deg", "pitch_deg", "roll_deg")
 
 

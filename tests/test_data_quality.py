@@ -180,6 +180,20 @@ def test_rejected_lines(spark, monkeypatch, broadcast):
     assert rejected_lines(df.limit(0)).count() == 0
 
 
+def test_loaded_lines_bear_filters_fractions_and_repeated_names(spark):
+    """A filter may reach any line before the rejected ones are taken out: none may fail."""
+    rows = [(1, 1, HEAD + ",OSD.latitude"), (1, 2, "2025/01/22 08:37:13.009,1,2,3,4,1,35.27,x,7.5"), (1, 3, "2025/01/22 08:37:13.1234567,1,2,3,4,1,-5.5,41.7,7.5"), (1, 4, "short"), (1, 5, '"open'), (1, 6, None), (1, 7, "2025/01/22 08:37:14,1,2,3,4,1,35.5,1.0,2.0,more")]
+    df = spark.createDataFrame([r + ("n",) for r in rows], "file_id long, line_no int, line_text string, names string")
+    x = loaded_lines(df)
+    got = {r.line_no: r for r in x.collect()}
+    assert set(got) == {2, 3}
+    assert (got[2].sampled_at.microsecond, got[3].sampled_at.microsecond) == (9000, 123456)
+    assert got[2].lat == 35.27 and got[2].lon is None and got[3].lon == 41.7
+    for name, kind in x.dtypes:
+        assert x.where(f"{name} is not null").count() == (1 if name == "lon" else 2), kind
+    assert [r.line_no for r in x.where("lat > 0 and is_video and format = 'A' and sampled_at > '2025-01-01'").collect()] == [2]
+
+
 def test_rejects_a_very_long_line(spark):
     df = spark.createDataFrame([(1, 1, HEAD), (1, 2, '2025/01/22 08:37:13,"' + '""' * 200_000 + '",2,3,4,0,35.1,41'), (1, 3, "x" * 500_000)], "file_id long, line_no int, line_text string")
     assert [tuple(r) for r in rejected_lines(df).collect()] == [(1, 3, "column_count")]

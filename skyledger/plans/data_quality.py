@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from skyledger.operators.regular_grid import telemetry_grid, unobserved_cells
 from skyledger.operators.rejects import loaded_lines, rejected_lines
-from skyledger.operators.schema_drift import QUANTITIES, consistent_records, schema_changes, schema_registry
+from skyledger.operators.schema_drift import consistent_records, migration_steps, schema_changes, schema_registry
 from skyledger.operators.spikes import implausible_telemetry
 from skyledger.tables import table
 
@@ -16,10 +16,27 @@ QUERIES = {
     "p3_loaded": lambda s, d: loaded_lines(table(s, d, "raw_lines")),
     "p5_found": lambda s, d: schema_changes(table(s, d, "log_files"), table(s, d, "log_records")),
     "p5_records": lambda s, d: consistent_records(table(s, d, "log_files"), table(s, d, "log_records")),
+    "p5_steps": lambda s, d: migration_steps(table(s, d, "log_files"), table(s, d, "log_records")),
     "p5_registry": lambda s, d: schema_registry(table(s, d, "log_files"), table(s, d, "log_records")),
 }
 
-_NAMES = ", ".join(f"('{n}', '{q}')" for q, names in QUANTITIES.items() for n in names)
+# What each name in the test files means. The operator has no such list; it is the SQL's own.
+_NAMES = """
+  ('t_sec', 't_sec'), ('elapsed_s', 't_sec'), ('seconds', 't_sec'), ('time_sec', 't_sec'), ('time_s', 't_sec'),
+  ('lat', 'lat'), ('latitude', 'lat'), ('gps_lat', 'lat'), ('OSD.latitude', 'lat'),
+  ('lon', 'lon'), ('longitude', 'lon'), ('gps_lon', 'lon'), ('OSD.longitude', 'lon'),
+  ('height_m', 'height_m'), ('rel_alt', 'height_m'), ('OSD.height [m]', 'height_m'), ('height_above_takeoff(meters)', 'height_m'),
+  ('yaw_deg', 'yaw_deg'), ('yaw', 'yaw_deg'), ('heading', 'yaw_deg'), ('GIMBAL.yaw', 'yaw_deg'), ('gimbal_heading(degrees)', 'yaw_deg'),
+  ('pitch_deg', 'pitch_deg'), ('pitch', 'pitch_deg'), ('GIMBAL.pitch', 'pitch_deg'), ('gimbal_pitch(degrees)', 'pitch_deg'),
+  ('roll_deg', 'roll_deg'), ('roll', 'roll_deg'), ('GIMBAL.roll', 'roll_deg'), ('gimbal_roll(degrees)', 'roll_deg'),
+  ('is_video', 'is_video'), ('isVideo', 'is_video'), ('recording', 'is_video'), ('CUSTOM.isVideo', 'is_video'),
+  ('format_detected', 'format_detected'), ('detected_format', 'format_detected'), ('log_format', 'format_detected'),
+  ('focal_len_mm', 'focal_len_mm'), ('focal_len', 'focal_len_mm'), ('focal_length', 'focal_len_mm'), ('FOCAL [mm]', 'focal_len_mm'),
+  ('battery_pct', 'battery_pct'),
+  ('satellites', 'satellites'),
+  ('iso', 'iso'),
+  ('fnum', 'fnum'),
+  ('shutter_s', 'shutter_s')"""
 
 _LINES = r"""
 WITH l AS (SELECT DISTINCT file_id, line_no, regexp_replace(replace(coalesce(line_text, ''), chr(0), ''), '\r$', '') AS txt FROM raw_lines),

@@ -12,7 +12,7 @@ import pytest
 from skyledger.operators.blocks import previous_row, with_halo
 from skyledger.operators.regular_grid import GridParams, regular_grid, telemetry_grid, unobserved_cells
 from skyledger.operators.rejects import loaded_lines, rejected_lines
-from skyledger.operators.schema_drift import consistent_records, schema_changes, schema_registry
+from skyledger.operators.schema_drift import consistent_records, migration_steps, schema_changes, schema_registry
 from skyledger.operators.spikes import SpikeParams, StretchParams, TELEMETRY_MEASURES, implausible_readings, implausible_telemetry, long_false_stretches
 
 TEL = "flight_id string, seq long, t_sec double, lat double, lon double, height_m double, format_detected string, extra string"
@@ -215,7 +215,8 @@ def test_schema_changes(spark):
     records += [(2, 1, {"gps_lat": 2, "heading": 5.0, "wind_speed": 3, "f": 1, "iso": 100})]
     records += [(7, 1, {"a": 1}), (8, 1, {"b": 1})]
     f, r = drift_tables(spark, files, records)
-    got = [tuple(x) for x in schema_changes(f, r).collect()]
+    alias = [("heading", "yaw_deg")]  # their values here have nothing in common, so no evidence could link them
+    got = [tuple(x) for x in schema_changes(f, r, alias).collect()]
     want = {
         (1, "renamed", "lat", "gps_lat"),
         (1, "retyped", "yaw_deg", "yaw_deg"),
@@ -225,7 +226,7 @@ def test_schema_changes(spark):
         (2, "added", "", "iso"),
     }
     assert len(got) == len(set(got)) and set(got) == want
-    t = {(x.file_id, x.rec_no): x for x in consistent_records(f, r).collect()}
+    t = {(x.file_id, x.rec_no): x for x in consistent_records(f, r, aliases=alias).collect()}
     assert t[1, 1].lat == 1.5 and t[1, 1].yaw_deg == 90.0 and t[3, 2].lat is None and t[1, 3].lat is None and len(t) == 10
     assert schema_registry(f, r).where("aircraft_id = 'A'").count() == 4
     assert schema_changes(f.limit(0), r.limit(0)).count() == 0
@@ -233,11 +234,43 @@ def test_schema_changes(spark):
 
 def test_casts_of_drifting_values(spark):
     f, r = drift_tables(spark, [(1, "A", "2025-01-01 00:00:00")], [(1, 1, {"t_sec": "00:01:02.5", "focal_len": "70 mm", "is_video": 1, "log_format": 3, "x": "k"}), (1, 2, {"recording": "False", "seconds": "--"})])
-    t = {x.rec_no: x for x in consistent_records(f, r).collect()}
+    alias = [("focal_len", "focal_len_mm"), ("log_format", "format_detected"), ("recording", "is_video"), ("seconds", "t_sec")]  # one file shows no rename
+    t = {x.rec_no: x for x in consistent_records(f, r, aliases=alias).collect()}
     assert (t[1].t_sec, t[1].focal_len_mm, t[1].is_video, t[1].format_detected, t[1].other) == (62.5, 70.0, True, "C (SRT subtitle)", '{"x":"k"}')
     assert (t[2].is_video, t[2].t_sec) == (False, None)
 
 
+def test_renames_follow_from_evidence_alone(spark):
+    """Spellings no list knows: values that go on under another name are renamed, equal-looking names of other things aren't."""
+    at = lambda m: f"2025-0{m}-01 00:00:00"
+    old = [{"altitude_agl": 50 + i, "wind_speed": 3.1 + 0.1 * i, "pitch": -40.5 + i, "app.mode": ["auto", "hold"][i % 2], "armed": i > 2, "gone": "x"} for i in range(6)]
+    new = [{"rel_height": 50 + i, "windspd": 3.1 + 0.1 * i, "camera_tilt": f"{-40.5 + i} deg", "rc.mode": ["P", "S"][i % 2], "armed": int(i > 2), "come": 7000} for i in range(6)]
+    files = [(1, "A", at(1)), (2, "A", at(2)), (3, "A", at(3))]
+    records = [(1, i, x) for i, x in enumerate(old)] + [(2, i, x) for i, x in enumerate(new)] + [(3, i, dict(reversed(x.items()))) for i, x in enumerate(new)]
+    f, r = drift_tables(spark, files, records)
+    got = {tuple(x) for x in schema_changes(f, r).collect()}
+    assert got == {
+        (2, "renamed", "altitude_agl", "rel_height"), (2, "renamed", "wind_speed", "windspd"), (2, "renamed", "pitch", "camera_tilt"),
+        (2, "retyped", "camera_tilt", "camera_tilt"), (2, "retyped", "armed", "armed"),
+        (2, "removed", "app.mode", ""), (2, "added", "", "rc.mode"), (2, "removed", "gone", ""), (2, "added", "", "come"),
+    }
+    t = {(x.file_id, x.rec_no): x for x in consistent_records(f, r, {"rel_height": "number", "armed": "flag"}).collect()}
+    assert t[1, 3].rel_height == 53.0 and t[2, 3].rel_height == 53.0 and t[2, 3].armed is True and t[1, 0].armed is False
+    assert json.loads(t[3, 0].other)["rc.mode"] == "P"
+    steps = migration_steps(f, r).collect()
+    assert {(x.from_version, x.to_version) for x in steps} == {(1, 2)} and len(steps) == 9
+
+
+def test_repeated_keys_and_numbers_in_drifting_records(spark):
+    """Two payloads under one number, one key twice in a payload, a key with a separator in it, a file in no list."""
+    payloads = [(1, 1, '{"lat": 1.0, "x": "a"}'), (1, 1, '{"lat": 2.0, "x": "b"}'), (1, 2, '{"x": 1, "x": 2}'), (1, 3, '{"": 1, "lat": 3}'), (50, 1, '{"lat": 4}'), (None, 1, "{}"), (1, None, '{"lat": 5}')]
+    f, r = drift_tables(spark, [(1, "A", "2025-01-01 00:00:00")], payloads)
+    t = {(x.file_id, x.rec_no): x for x in consistent_records(f, r).collect()}
+    assert len(t) == 6 and t[1, 1].lat == 1.0 and json.loads(t[1, 1].other) == {"x": "a"} and t[1, 3].lat == 3.0 and t[50, 1].lat == 4.0 and t[1, None].lat == 5.0
+    assert schema_changes(f, r).count() == 0 and migration_steps(f, r).count() == 0
+    assert consistent_records(f.limit(0), r.limit(0)).count() == 0
+
+
 def test_previous_row_needs_no_whole_key(spark):
     from pyspark.sql import functions as F
 

@@ -66,6 +66,47 @@ def test_spikes_frozen_runs_and_impossible_values(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("block, length", [(100_000, 7), (100_000, 200), (512, 20), (128, 1400)])
+def test_excursions_of_any_length(spark, block, length):
+    """An excursion ends where the series returns, however many readings and blocks lie between."""
+    rows = flight("a", 3000, 6) + flight("b", 500, 7)
+    want = set()
+    for i in range(900, 900 + length):
+        if i % 50 == 7:
+            rows[i][3] = None
+        else:
+            rows[i][3] += 500 / 110540
+            want.add(("a", i, "lat"))
+    assert run(spark, rows, block_rows=block, halo_rows=64) == want
+
+
+def test_jumps_that_are_no_excursion(spark):
+    """A lasting change of place, a change across a gap and back, and two ends of frozen runs enclose nothing."""
+    a, b, f = flight("a", 900, 8), flight("b", 900, 9), flight("f", 900, 10)
+    for r in a[400:]:
+        r[3] += 300 / 110540
+    for r in b[300:600]:
+        r[2] += 400
+        r[3] += 300 / 110540
+    for r in b[600:]:
+        r[2] += 900
+    want = set()
+    for at in (200, 500):
+        for i in range(at, at + 40):
+            want.add(("f", i, "lat"))
+            f[i][3] = f[at - 1][3]
+    assert run(spark, a + b + f) == want
+
+
+def test_each_hour_is_judged_by_its_own_noise(spark):
+    """A spike of a calm hour is one, though the same step is nothing in the rough hour of the same block."""
+    calm, rough = flight("a", 3000, 11, noise=0.2, step=1.0), flight("a", 3000, 12, noise=6.0, step=1.0)
+    for i, r in enumerate(rough):
+        r[1], r[2] = 3600 + i, r[2] + 3700
+    calm[1500][3] += 12 / 110540
+    assert ("a", 1500, "lat") in run(spark, calm + rough, hour_rows=500)
+
+
 def test_moves_across_gaps_rounding_and_standing_are_no_cases(spark):
     a, b = flight("a", 400, 3), flight("a", 400, 4)
     for i, r in enumerate(b):

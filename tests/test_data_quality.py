@@ -126,6 +126,8 @@ def test_empty_constant_and_tiny_sources(spark):
 
 @pytest.mark.parametrize("block", [4096, 64])
 def test_long_false_stretches(spark, block):
+    from pyspark.sql import functions as F
+
     rng = np.random.default_rng(0)
     flags = [bool(x) for x in rng.random(1000) > 0.06]
     for i in range(500, 560):
@@ -133,7 +135,7 @@ def test_long_false_stretches(spark, block):
     flags[498] = flags[499] = flags[560] = flags[561] = True
     flags[520] = True
     rows = [("f", i, v) for i, v in enumerate(flags)] + [("f", 3000, None), (None, 1, False), ("f", None, False)]
-    df = spark.createDataFrame(rows + rows[:50], "flight_id string, pose_no long, gps_used boolean")
+    df = spark.createDataFrame(rows + rows[:50], "flight_id string, pose_no long, gps_used boolean").withColumn("t", F.lit(None).cast("double"))
     got = {r.rec_no for r in long_false_stretches(df, "flight_id", "pose_no", "gps_used", StretchParams(block_rows=block)).collect()}
     assert got == {i for i in range(500, 560) if i != 520}
     assert long_false_stretches(df.limit(0), "flight_id", "pose_no", "gps_used").count() == 0

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyledger.plans import camera, clouds, control, data_quality, extras, fusion, images, points, sinks, streams, extras, telemetry
+from skyledger.plans import camera, clouds, control, data_quality, extras, fusion, images, points, sinks, streams, telemetry
 
-MODULES = [fusion, points, clouds, images, camera, control, sinks, streams, extras, telemetry, data_quality]
+MODULES = [fusion, points, clouds, images, camera, control, sinks, streams, telemetry, data_quality]
 
 
 def queries() -> dict:

@@ -22,6 +22,7 @@ def build_session(master: str = "local[*]", app: str = "skyledger", **conf: str)
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     builder = SparkSession.builder.master(master).appName(app)
     for k, v in (base | conf).items():
@@ -30,7 +31,10 @@ def build_session(master: str = "local[*]", app: str = "skyledger", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoint(): the cluster's own, or a local one where none is set."""
+    """The shared folder for checkpoint(): the cluster's own; a local one only where none is set and all runs in one process.
+
+    On a cluster a folder of this machine would be lost to the others, so without a setting this fails.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -38,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="skyledger-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

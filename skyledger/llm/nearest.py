@@ -43,7 +43,8 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got or not sum(b.num_rows for b in got):
         return
     rows = pa.Table.from_batches(got)
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
+    # a group is bounded in rows, so nothing need be spilled; an empty folder name keeps DuckDB from using the worker's disk
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
     con.register("rows", rows)
     out = con.sql(_MATCH).to_arrow_table()
     con.close()
@@ -72,6 +73,7 @@ def nearest_in_time(left: DataFrame, rights: dict[str, DataFrame], max_tol: floa
         r = with_halo(clean(df, side, F.lit(None)), F.col("t"), p.block_s, max_tol, max_tol).drop("blk_home")
         both = both.unionByName(r)
         n += df.count()  # from the file footers
+    n = int((n + left.count()) * (1 + 2 * max_tol / p.block_s))  # with the rows listed under two blocks
     spark = left.sparkSession
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n // p.rows_per_group)
     return both.repartition(groups, "k", "blk").mapInArrow(_match, "k string, no bigint, side string, hit bigint")

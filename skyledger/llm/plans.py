@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyledger.llm.mixing import mixture, reached_shares, sized_documents
+from skyledger.llm.mixing import mixed_documents, mixture, reached_shares, sized_documents
 from skyledger.llm.nearest import matched_frames
 from skyledger.llm.tokens import token_ids
 from skyledger.llm.truncation import cut_documents, cut_rates
@@ -18,7 +18,8 @@ QUERIES = {
     "p6_ids": lambda s, d: token_ids(table(s, d, "documents")),
     "p7_mix": lambda s, d: mixture(sized_documents(table(s, d, "documents")), table(s, d, "mix_targets")),
     "p7_shares": lambda s, d: reached_shares(sized_documents(table(s, d, "documents")), table(s, d, "mix_targets")),
-    "p7_shares_full": lambda s, d: reached_shares(sized_documents(table(s, d, "documents")), table(s, d, "mix_targets"), short="redistribute"),
+    "p7_shares_exact": lambda s, d: reached_shares(sized_documents(table(s, d, "documents")), table(s, d, "mix_targets"), short="shrink"),
+    "p7_texts": lambda s, d: mixed_documents(table(s, d, "documents"), sized_documents(table(s, d, "documents")), table(s, d, "mix_targets")),
     "p8_found": lambda s, d: cut_documents(table(s, d, "documents")),
     "p8_rates": lambda s, d: cut_rates(table(s, d, "documents")),
 }

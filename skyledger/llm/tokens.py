@@ -12,18 +12,28 @@ from pyspark.sql import functions as F
 from skyledger.llm.bpe import encoder, vocabulary_path
 
 
+MARK_WORDS = 1 << 17  # of 64 bits each: bounds what is broadcast to about 2 MB, whatever the corpus
+
+
 def unique_documents(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`df` with one row per key.
+    """`df` with one row per key; of rows with one key the least by the remaining columns in their order counts.
 
-    Repeated keys are looked for over the key column alone; only if there are any does a text
-    move (the row with the least remaining columns in their order counts).
+    Only keys are counted. The repeated ones set bits in a table of at most `MARK_WORDS` rows, which
+    goes to every executor: a row whose bit is not set is certainly the only one and stays where it
+    is; the others (repeated, or sharing a bit with a repeated key) are settled by an aggregation.
     """
-    if df.select(key).groupBy(key).count().where("count > 1").limit(1).count() == 0:
-        return df
     rest = [c for c in df.columns if c != key]
     if not rest:
         return df.distinct()
-    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*")
+    word = F.expr(f"pmod(shiftright(xxhash64(`{key}`), 6), {MARK_WORDS})")
+    bit = F.expr(f"shiftleft(1L, cast(xxhash64(`{key}`) & 63 as int))")
+    again = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    marks = again.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    x = df.withColumn("_at", word).join(F.broadcast(marks), F.col("_at") == F.col("_word"), "left")
+    marked = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    once = x.where(~marked).select(*df.columns)
+    settled = x.where(marked).groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*")
+    return once.unionByName(settled)
 
 
 def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
@@ -31,7 +41,7 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
 
     Null and empty texts give the empty list; spellings of special tokens are ordinary text. Rows
     with a null doc_id are left out, repeated doc_ids come once, an empty table gives no rows;
-    other columns are not read. Texts of any length are encoded whole. No row moves.
+    other columns are not read. Texts of any length are encoded whole. No text moves but those of repeated ids.
     """
     path = path or vocabulary_path()
 

@@ -27,7 +27,9 @@ from skyledger.session import ensure_checkpoint_dir
 
 #: Stands for documents without a source: they are judged by the endings of all documents.
 ALL = "~all"
-BROKEN = "�"
+BROKEN = "\ufffd"
+#: Fixed value: the characters that Unicode calls white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @dataclass(frozen=True)
@@ -40,9 +42,15 @@ class CutParams:
     threshold: float = 0.4  # of the posterior; texts away from a limit get too low a one rather than too high
 
 
+def _tail(text: Column, p: CutParams) -> Column:
+    """The last characters of a text without the blanks behind it, however many they are."""
+    end = F.when(F.right(text, F.lit(1)).rlike(r"(?U)\s"), F.rtrim(text, F.lit(BLANKS))).otherwise(text)
+    return F.right(end, F.lit(p.tail_chars))
+
+
 def _ending(text: Column, p: CutParams) -> tuple[Column, Column]:
     """(word, kind) of the end of a text: its last word, generalised, and the kind of its last character."""
-    tail = F.regexp_replace(F.right(text, F.lit(p.tail_chars)), r"(?U)\s+$", "")
+    tail = _tail(text, p)
     word = F.lower(F.regexp_extract(tail, r"(?U)(\S+)$", 1))
     word = F.when(F.length(word) > 24, F.right(word, F.lit(2))).otherwise(word)
     word = F.regexp_replace(word, r"\d", "0")
@@ -76,7 +84,7 @@ def features(documents: DataFrame, p: CutParams) -> DataFrame:
     d = d.where("text is not null and text <> ''").withColumn("src", F.when(src != "", src).otherwise(F.lit(None)))
     d = d.withColumn("src", F.coalesce("src", F.lit(ALL)))
     word, kind = _ending(F.col("text"), p)
-    n, broken = F.length("text"), F.regexp_replace(F.right("text", F.lit(16)), r"(?U)\s+$", "").endswith(BROKEN)
+    n, broken = F.length("text"), _tail(F.col("text"), p).endswith(BROKEN)
     cuts = []
     for i in range(p.cuts):
         at = 1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(n - 1, F.lit(1))).cast("int")
@@ -172,14 +180,14 @@ def fit_endings(cats: pd.DataFrame) -> pd.DataFrame:
         # pooled over the endings that whole texts have least of, as a single one may be missing by chance
         order = (a / b).sort_values().index
         low = order[: 1 + int(np.searchsorted(b[order].cumsum().to_numpy(), 0.4))]
-        return float(np.clip(a[low].sum() / b[low].sum(), 0.002, 0.5))
+        return float(np.clip(a[low].sum() / b[low].sum(), 0.002, 0.95))
 
     # With few texts, an unseen ending may just be a rare one of whole texts. How many of those to expect follows
     # from the endings seen twice: if whole texts hardly vary there are none, and unseen ones are cuts.
     n_seen = max(float(t["seen"].sum()), 1.0)
     new = [k for k in t.index if k.endswith(":new")]
     rare = (3.0 * float(t["twice"].sum()) + 1.0) / n_seen
-    by_novelty = float(np.clip((seen[new].sum() - rare) / max(cut[new].sum(), 0.05), 0.002, 0.5))
+    by_novelty = float(np.clip((seen[new].sum() - rare) / max(cut[new].sum(), 0.05), 0.002, 0.95))
     base = (cut_share(seen, cut) * n_seen + by_novelty * 50.0) / (n_seen + 50.0)
     whole = (seen - base * cut).clip(lower=0.02 * seen).clip(lower=1e-5)
     whole = whole / whole.sum()
@@ -206,7 +214,7 @@ def scored_documents(documents: DataFrame, params: CutParams = CutParams()) -> D
     """(doc_id, src, n, at_limit, broken, posterior, cut) of every document with a text.
 
     Documents with a null or empty text aren't cut. A document without a source is judged by the
-    endings of all documents and by its own group's limits. Repeated doc_ids count once; equal texts
+    endings and the limits of all documents. Repeated doc_ids count once; equal texts
     are judged alike. Blank texts end in nothing and are whole unless at a limit. Texts of any length
     count whole. An empty table gives no rows.
     """
@@ -215,6 +223,8 @@ def scored_documents(documents: DataFrame, params: CutParams = CutParams()) -> D
     f = features(documents, p).checkpoint()  # read several times below; the texts only once
     sizes = f.select("src", F.inline(F.array(F.struct(F.lit("chars").alias("unit"), F.col("n").alias("len")), F.struct(F.lit("bytes").alias("unit"), F.col("b").alias("len")))))
     hist = sizes.groupBy("src", "unit", "len").agg(F.count(F.lit(1)).alias("n"))
+    # documents without a source may come from any: their limits are those of all documents
+    hist = hist.where(F.col("src") != ALL).unionByName(hist.groupBy("unit", "len").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("src"), "unit", "len", "n"))
 
     def limits_of(key: tuple, h: pd.DataFrame) -> pd.DataFrame:
         r = fit_limits(h, p)
@@ -269,8 +279,9 @@ def scored_documents(documents: DataFrame, params: CutParams = CutParams()) -> D
     twice = stats.where((F.col("all_seen") == 2) & F.col("w_kind").isin("letter", "digit", "numstop")).groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     cats = seen_cats.unionByName(cut_cats).unionByName(twice.select("src", F.lit("twice").alias("grp"), F.lit("letter:new").alias("cat"), "n"))
     overall = cats.where("grp in ('seen', 'cut')").groupBy("grp", "cat").agg(F.sum("n").alias("n")).withColumn("grp", F.concat(F.lit("all_"), F.col("grp")))
+    overall = overall.agg(F.collect_list(F.struct("grp", "cat", "n")).alias("all"))  # one row, of an entry for each kind of ending
     sources = cats.select("src").distinct()
-    cats = cats.unionByName(sources.crossJoin(F.broadcast(overall)).select("src", "grp", "cat", "n"))  # at most a row for each kind of ending
+    cats = cats.unionByName(sources.crossJoin(F.broadcast(overall)).select("src", F.inline("all")))
 
     def endings_of(key: tuple, c: pd.DataFrame) -> pd.DataFrame:
         if key[0] == ALL:  # judged by all documents

@@ -70,17 +70,50 @@ def test_mixture_shares_and_caps(spark):
     rows = [(i, "big", 10) for i in range(4000)] + [(10_000 + i, "small", 10) for i in range(100)]
     t = spark.createDataFrame([(" BIG ", 0.8, 1), ("small", 0.2, 3), ("none", 0.0, 4), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
     s = sized(spark, rows)
-    r = {x.source: x for x in rates(s, t).collect()}
+    r = {x.source: x for x in rates(s, t, "shrink").collect()}
     assert r["small"].rate == pytest.approx(3.0) and r["big"].rate == pytest.approx(0.3) and r["none"].rate == 0
-    rep = {x.source: x for x in reached_shares(s, t).collect()}
+    rep = {x.source: x for x in reached_shares(s, t, short="shrink").collect()}
     assert rep["small"].reached_share == pytest.approx(0.2, abs=0.02) and rep["small"].most_copies == 3 and rep["small"].at_cap
-    m = mixture(s, t).toPandas()
+    m = mixture(s, t, short="shrink").toPandas()
     assert m.duplicated(["doc_id", "copy_no"]).sum() == 0 and m.groupby("doc_id").copy_no.max().max() == 3
-    assert mixture(s, t).count() == len(m)  # the seed decides, not the run
-    full = {x.source: x.rate for x in rates(s, t, "redistribute").collect()}
+    assert mixture(s, t, short="shrink").count() == len(m)  # the seed decides, not the run
+    full = {x.source: x.rate for x in rates(s, t).collect()}
     assert full["small"] == 3.0 and full["big"] == pytest.approx(0.82)
 
 
+def test_scarce_and_missing_sources_hold_nobody_back(spark):
+    """A source at its cap falls short and says so; the share of one without documents goes to the others in proportion."""
+    rows = [(i, "a", 10) for i in range(6000)] + [(10_000 + i, "b", 10) for i in range(3000)] + [(20_000 + i, "rare", 10) for i in range(10)]
+    t = spark.createDataFrame([("a", 0.4, 2), ("b", 0.2, 2), ("rare", 0.2, 3), ("missing", 0.2, 9)], "source string, target_share double, max_repeats int")
+    rep = {x.source: x for x in reached_shares(sized(spark, rows), t).collect()}
+    assert rep["a"].due_share == pytest.approx(0.5) and rep["missing"].due_share == 0 and rep["missing"].n_emitted == 0
+    assert rep["rare"].at_cap and rep["rare"].n_emitted == 30 and rep["rare"].reached_share < rep["rare"].due_share
+    assert rep["a"].emitted_tokens / rep["b"].emitted_tokens == pytest.approx(2.0, rel=0.1) and rep["a"].emitted_tokens == pytest.approx(0.5 * 90_100, rel=0.1)
+
+
+def test_mixed_texts_are_the_copies_of_the_mixture(spark):
+    from skyledger.llm.mixing import mixed_documents, sized_documents
+
+    df = spark.createDataFrame([(i, "word " * (i % 7), " A " if i % 3 else "b", 0) for i in range(300)] + [(0, "", "b", 0), (400, "x", None, 0), (None, "x", "a", 0)], DOCS)
+    t = spark.createDataFrame([("a", 0.3, 2), ("b", 0.7, 2)], "source string, target_share double, max_repeats int")
+    s = sized_documents(df)
+    texts = {(r.doc_id, r.copy_no): r.text for r in mixed_documents(df, s, t).collect()}
+    assert set(texts) == {(r.doc_id, r.copy_no) for r in mixture(s, t).collect()} and texts[3, 1] == "word word word "
+
+
+def test_unrepeated_texts_do_not_move(spark):
+    """One repeated id settles its own rows; the texts of the others meet no exchange."""
+    from skyledger.llm.tokens import unique_documents
+
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(500)] + [(7, "a text"), (7, "a text"), (None, "n"), (None, "m")], "doc_id long, text string")
+    got = [tuple(r) for r in unique_documents(df.where("doc_id is not null")).collect()]
+    assert len(got) == 500 and dict(got)[7] == "a text" and dict(got)[8] == "text 8"
+    plan = unique_documents(df.where("doc_id is not null"))._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("Union")[1]
+    once = above[: above.index("SortAggregate")] if "SortAggregate" in above else above
+    assert "BroadcastHashJoin" in once and "hashpartitioning" not in once.split("BroadcastExchange")[0]
+
+
 def test_mixture_of_nothing(spark):
     t = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
     assert mixture(sized(spark, []), t).count() == 0
@@ -152,5 +185,28 @@ def test_cut_documents_on_a_planted_corpus(spark):
     assert r["note"].n_cut == len(got)
 
 
+def test_blanks_behind_the_end_change_nothing_however_many(spark):
+    from pyspark.sql import functions as F
+
+    from skyledger.llm.truncation import CutParams, _ending
+
+    df = spark.createDataFrame([("The flight was calm" + " " * 5,), ("The flight was calm" + " \t\u3000" * 400,), (" " * 500,), ("x" * 300_000 + " " * 90,)], "text string")
+    w, k = _ending(F.col("text"), CutParams())
+    got = [tuple(r) for r in df.select(w, k).collect()]
+    assert got[0] == got[1] == ("calm", "letter") and got[2][1] == "blank" and got[3] == ("xx", "letter")
+
+
+def test_a_source_that_cuts_most_of_its_texts_is_not_reported_as_half(spark):
+    rng = np.random.default_rng(2)
+    words = ["mesh", "voxel", "track", "gimbal", "depth", "frame", "overlap", "baseline", "propeller", "coverage"]
+    whole = lambda: " ".join((" ".join(rng.choice(words, rng.integers(4, 9))).capitalize() + ".") for _ in range(rng.integers(3, 9)))
+    rows = [(i, whole(), "good", 0) for i in range(1500)]
+    for i in range(1500):
+        t = whole()
+        rows.append((5000 + i, t[: int(rng.integers(15, len(t) - 3))] if i % 10 < 8 else t, "bad", 0))
+    r = {x.source: x.cut_rate for x in cut_rates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert r["good"] < 0.05 and r["bad"] > 0.65
+
+
 def test_cut_documents_of_nothing(spark):
     assert scored_documents(spark.createDataFrame([], DOCS)).count() == 0

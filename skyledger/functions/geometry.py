@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,8 +194,12 @@ def quality_overall(blur: Column, exposure: Column, compression: Column, coverag
 
 
 def compass(dx: Column, dy: Column) -> Column:
-    ns, ew = F.when(dy > 0, "north").otherwise("south"), F.when(dx > 0, "east").otherwise("west")
-    return F.when((F.abs(dx) < 1e-6) & (F.abs(dy) < 1e-6), "central").when(F.abs(dy) < F.abs(dx) * 0.4, ew).when(F.abs(dx) < F.abs(dy) * 0.4, ns).otherwise(F.concat(ns, ew))
+    """The side of the centre a place lies on; a side counts from atan(.4) off the other axis, and within a micrometre there is none."""
+    from_axis = F.atan2(F.abs(dy), F.abs(dx))
+    least = math.atan(0.4)
+    upright = F.when(from_axis >= least, F.when(dy > 0, "north").otherwise("south")).otherwise("")
+    sideways = F.when(from_axis <= math.pi / 2 - least, F.when(dx > 0, "east").otherwise("west")).otherwise("")
+    return F.when(F.greatest(F.abs(dx), F.abs(dy)) < 1e-6, "central").otherwise(F.concat(upright, sideways))
 
 
 def finite(c: Column) -> Column:

@@ -17,7 +17,7 @@ def face_edges(faces: DataFrame) -> DataFrame:
     return x.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def components(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(v, component): the least vertex reachable from each vertex of `edges` (a, b), and of `vertices` (v).
 
     Alternating large-star and small-star steps: each vertex hands its larger neighbours, then its
@@ -30,7 +30,7 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, rounds: int
     loops = e.where("u = v").select(c("u").alias("v"))
     cur = e.where("u <> v").distinct().checkpoint()
     sign = None
-    for _ in range(rounds):
+    while True:  # until nothing changes: a label is never handed out before it is the least one
         both = cur.unionByName(cur.select(c("v").alias("u"), c("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(c("v").alias("u"), c("m").alias("v")).where("u <> v")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyledger.session import ensure_checkpoint_dir
@@ -65,7 +66,10 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int = 1, axes: tuple[str, ..
         if k == 1:
             best = pairs.groupBy("id").agg(F.array(F.min(hit)).alias("hits"))
         else:
-            best = pairs.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(hit)), 1, k).alias("hits"))
+            # a group limit: no more than k candidates of a row are ever held
+            first = F.row_number().over(W.partitionBy("id").orderBy("d", "rid"))
+            near_k = pairs.select("id", d.alias("d"), "rid").withColumn("_k", first).where(c("_k") <= k)
+            best = near_k.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d", c("rid").alias("id")))).alias("hits"))
         best = best.checkpoint()
         if last:
             done.append(best)

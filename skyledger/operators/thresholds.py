@@ -47,7 +47,7 @@ def frustum_fits(points: DataFrame, bands: int = 12, half_width: float = 0.015,
     rows = []
     for a, n in enumerate(names):
         o = [m for m in names if m != n]
-        rows.append(F.struct(F.lit(a).alias("axis"), ((c(n) - c(f"lo_{n}")) / (c(f"hi_{n}") - c(f"lo_{n}"))).alias("u"), (c(f"hi_{n}") - c(f"lo_{n}")).alias("span"), c(o[0]).alias("v0"), c(o[1]).alias("v1")))
+        rows.append(F.struct(F.lit(a).alias("axis"), F.try_divide(c(n) - c(f"lo_{n}"), c(f"hi_{n}") - c(f"lo_{n}")).alias("u"), (c(f"hi_{n}") - c(f"lo_{n}")).alias("span"), c(o[0]).alias("v0"), c(o[1]).alias("v1")))
     long = p.select(F.inline(F.array(*rows)))
     step = 0.8 / (bands - 1)
     near = F.round((c("u") - 0.1) / step).cast("int")

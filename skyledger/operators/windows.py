@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import atan2, hypot, sqrt
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from skyledger.operators.blocks import meet_salted, previous_row
+from skyledger.session import ensure_checkpoint_dir
+
 
 def moving_average(value: str, key: str, order: str, width: int = 5) -> Column:
     """Centred mean whose ends repeat the first and last value; a source shorter than the window stays as it is."""
@@ -24,13 +28,13 @@ def moving_average(value: str, key: str, order: str, width: int = 5) -> Column:
 
 
 def gradient(value: str, time: str, key: str) -> Column:
-    """Derivative over uneven steps: second order inside, one-sided at the ends."""
+    """Derivative over uneven steps: second order inside, one-sided at the ends; null where two rows share a time."""
     w = W.partitionBy(key).orderBy(time)
     v, t = F.col(value), F.col(time)
     vp, vn, tp, tn = F.lag(value).over(w), F.lead(value).over(w), F.lag(time).over(w), F.lead(time).over(w)
     hs, hd = t - tp, tn - t
-    inner = (hs * hs * vn + (hd * hd - hs * hs) * v - hd * hd * vp) / (hs * hd * (hd + hs))
-    return F.when(tp.isNull() & tn.isNull(), None).when(tp.isNull(), (vn - v) / hd).when(tn.isNull(), (v - vp) / hs).otherwise(inner)
+    inner = F.try_divide(hs * hs * vn + (hd * hd - hs * hs) * v - hd * hd * vp, hs * hd * (hd + hs))
+    return F.when(tp.isNull() & tn.isNull(), None).when(tp.isNull(), F.try_divide(vn - v, hd)).when(tn.isNull(), F.try_divide(v - vp, hs)).otherwise(inner)
 
 
 def bearing(x: str, y: str, key: str, order: str) -> Column:
@@ -63,18 +67,19 @@ def true_segments(df: DataFrame, key: str, time: str, order: str, flag: str) ->
 def interpolate_at(queries: DataFrame, samples: DataFrame, key: str, t_query: str, t_sample: str, values: list[str], angles: list[str] | None = None, block_s: float = 600.0) -> DataFrame:
     """Each query row with the samples' values interpolated at its time, held beyond the ends.
 
-    Samples become intervals to their successor (`lead`); interval and query meet by (key, time
+    Samples become intervals to their successor (found inside blocks of time, see `previous_row`); interval and query meet by (key, time
     block), an interval being listed under every block it touches, so no source is one task and no
     pair outside its block arises. Angles (degrees) are interpolated by sine and cosine.
     """
     angles = angles or []
-    w = W.partitionBy(key).orderBy(t_sample)
-    s = samples.where(F.col(t_sample).isNotNull()).groupBy(key, t_sample).agg(*[F.min(v).alias(v) for v in [*values, *angles]])
-    nxt = {f"_n_{v}": F.lead(v).over(w) for v in [*values, *angles]}
-    s = s.withColumns(nxt | {"_t1": F.lead(t_sample).over(w), "_first": F.lag(t_sample).over(w).isNull()}).withColumnRenamed(t_sample, "_t0")
+    known = samples.where(F.col(t_sample).isNotNull())
+    s = known.groupBy(key, t_sample).agg(*[F.min(v).alias(v) for v in [*values, *angles]]).withColumn("_down", -F.col(t_sample))
+    nxt = [f"_n_{v}" for v in [*values, *angles]]
+    s = previous_row(s, key, ["_down"], -F.floor(F.col(t_sample) / F.lit(block_s)), [t_sample, *values, *angles], "_n_")
+    s = s.withColumnRenamed(f"_n_{t_sample}", "_t1").withColumnRenamed(t_sample, "_t0").drop("_down")
     blk = lambda c: F.floor(c / F.lit(block_s)).cast("bigint")
-    ends = samples.where(F.col(t_sample).isNotNull()).groupBy(key).agg(F.min(t_sample).alias("_lo"), F.max(t_sample).alias("_hi"))
-    q = queries.where(F.col(t_query).isNotNull()).join(ends, key).withColumn("_t", F.least(F.greatest(F.col(t_query), F.col("_lo")), F.col("_hi"))).drop("_lo", "_hi")
+    ends = known.groupBy(key).agg(F.min(t_sample).alias("_lo"), F.max(t_sample).alias("_hi"))
+    q = meet_salted(queries.where(F.col(t_query).isNotNull()), ends, [key], F.col(t_query)).withColumn("_t", F.least(F.greatest(F.col(t_query), F.col("_lo")), F.col("_hi"))).drop("_lo", "_hi")
     q = q.withColumn("_blk", blk(F.col("_t")))
     s = s.withColumn("_blk", F.explode(F.sequence(blk(F.col("_t0")), blk(F.coalesce("_t1", "_t0")))))
     meets = (F.col("_t") >= F.col("_t0")) & (F.col("_t") < F.coalesce(F.col("_t1"), F.lit(float("inf"))))
@@ -85,7 +90,7 @@ def interpolate_at(queries: DataFrame, samples: DataFrame, key: str, t_query: st
     for v in angles:
         r0, r1 = F.radians(F.col(v)), F.radians(F.coalesce(f"_n_{v}", v))
         cols[v] = F.degrees(F.atan2(lerp(F.sin(r0), F.sin(r1)), lerp(F.cos(r0), F.cos(r1))))
-    return j.withColumns(cols).drop("_t", "_blk", "_t0", "_t1", "_first", *nxt)
+    return j.withColumns(cols).drop("_t", "_blk", "_t0", "_t1", *nxt)
 
 
 def running_best(value: str, key: str, order: str) -> Column:
@@ -93,87 +98,145 @@ def running_best(value: str, key: str, order: str) -> Column:
 
 
 def ema(df: DataFrame, keys: list[str], order: str, value: str, gamma: float = 0.85, out: str = "ema") -> DataFrame:
-    """Last value per key of g*previous + (1-g)*new, the first value starting it: a fold over the key's ordered values."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"])
-    fold = F.aggregate(F.slice("_s", F.lit(2), F.greatest(F.size("_s") - 1, F.lit(0))), F.element_at("_s", 1), lambda acc, v: acc * gamma + v * (1.0 - gamma))
-    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(seq.alias("_s")).select(*keys, fold.alias(out), F.size("_s").cast("bigint").alias("n"))
+    """Last value per key of g*previous + (1-g)*new, the first value starting it; rows of equal order go by value.
+
+    The fold is a weighted sum: the k-th value from the end has the weight (1-g)*g^(k-1), the first
+    one of all g^(n-1). Weights below 1e-20 are beyond the digits of a double, so a key of any
+    length needs its last few hundred values only (a group limit, pruned before the exchange).
+    """
+    reach = int(np.ceil(np.log(1e-20) / np.log(gamma)))
+    x = df.where(F.col(value).isNotNull())
+    w = W.partitionBy(*keys).orderBy(F.col(order).desc(), F.col(value).desc())
+    last = x.select(*keys, F.col(value).alias("_v"), F.row_number().over(w).alias("_k")).where(F.col("_k") <= reach)
+    last = last.groupBy(*keys).agg(F.sum(F.col("_v") * (1.0 - gamma) * F.pow(F.lit(gamma), F.col("_k") - 1)).alias("_s"), F.max_by("_v", "_k").alias("_first"))
+    n = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    total = F.col("_s") + F.when(F.col("n") <= reach, F.col("_first") * F.pow(F.lit(gamma), F.col("n"))).otherwise(0.0)
+    return last.join(n, keys).select(*keys, total.alias(out), "n")
+
+
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """(value, out): the average rank of each distinct value among all rows.
+
+    Values are counted, put into ranges and written; the ranges' totals, a row per task, give each
+    range its offset, and the running count goes through one range at a time.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    n = df.groupBy(value).count().repartitionByRange(F.col(value)).withColumn("_part", F.spark_partition_id()).checkpoint()
+    parts = n.groupBy("_part").agg(F.sum("count").alias("_total"))
+    parts = parts.select("_part", (F.sum("_total").over(W.orderBy("_part")) - F.col("_total")).alias("_before"))  # a row per task
+    run = F.sum("count").over(W.partitionBy("_part").orderBy(value))
+    return n.join(F.broadcast(parts), "_part").select(value, (F.col("_before") + run - (F.col("count") - 1) / 2.0).alias(out))
 
 
 def stable_runs(df: DataFrame, key: str, order: str, value: str, drift: float = 0.1) -> DataFrame:
-    """(key, order, value, run): greedy runs; one breaks when the value leaves its first by more than `drift` of it.
+    """(key, order, value, run): greedy runs, named by the order of their first row; a value further than `drift` from the run's first starts the next.
 
-    Where a run breaks depends on where it began, so this is a fold in order, by Arrow batches of
-    whole sources; only key, order and value travel.
+    Where a run ends depends on where it began, so a source is read in order. Rows stream by in
+    Arrow batches, sorted inside hash partitions; what is kept between batches is one run's start,
+    and within a batch each run is one vectorised search for its end.
     """
 
-    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        v = pdf[value].to_numpy(float)
-        run = np.zeros(len(v), dtype=np.int64)
-        start = 0
-        for i in range(1, len(v)):
-            if abs(v[i] - v[start]) > drift * v[start]:
-                start = i
-            run[i] = start
-        return pdf.assign(run=run)
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, base, name = None, 0.0, 0
+        for pdf in batches:
+            ks, os, vs = pdf[key].to_numpy(), pdf[order].to_numpy(), pdf[value].to_numpy(float)
+            names = np.empty(len(pdf), dtype=np.int64)
+            cuts = [*(np.flatnonzero(ks[1:] != ks[:-1]) + 1), len(pdf)]
+            at = 0
+            for stop in cuts:
+                if ks[at] != source:
+                    source, base, name = ks[at], vs[at], os[at]
+                while at < stop:
+                    leaves = np.abs(vs[at:stop] - base) > drift * base
+                    end = at + int(leaves.argmax()) if leaves.any() else stop
+                    names[at:end] = name
+                    if end < stop:
+                        base, name = vs[end], os[end]
+                    at = end
+            yield pdf.assign(run=names)
 
     t = dict(df.dtypes)
-    return df.select(key, order, value).groupBy(key).applyInPandas(runs, f"{key} {t[key]}, {order} {t[order]}, {value} {t[value]}, run long")
+    rows = df.select(key, order, value).repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInPandas(stream, f"{key} {t[key]}, {order} {t[order]}, {value} {t[value]}, run long")
 
 
 class KalmanState:
-    """Six-state position and velocity filter with gated position updates; the step is shared by batch and stream."""
+    """Six-state position and velocity filter with gated position updates; the step is shared by batch and stream.
+
+    The model moves each axis by itself and x and y have one noise, so the covariance is two blocks
+    of position, cross and velocity variance (x and y, z) and a step is a few dozen operations.
+    """
 
-    def __init__(self, p0: np.ndarray, q_accel: float, sigma_xy: float, sigma_z: float, gate: float):
-        self.x = np.concatenate([p0, np.zeros(3)])
-        self.P = np.eye(6) * 25.0
+    __slots__ = ("x", "P", "q", "r_xy", "r_z", "gate", "yaw")
+
+    def __init__(self, p0, q_accel: float, sigma_xy: float, sigma_z: float, gate: float):
+        self.x = [float(p0[0]), float(p0[1]), float(p0[2]), 0.0, 0.0, 0.0]
+        self.P = [25.0, 0.0, 25.0, 25.0, 0.0, 25.0]
         self.q = max(q_accel, 1e-3) ** 2
-        self.R = np.diag([sigma_xy**2, sigma_xy**2, sigma_z**2])
-        self.gate = gate
-        self.yaw = 0.0
+        self.r_xy, self.r_z, self.gate, self.yaw = sigma_xy**2, sigma_z**2, gate, 0.0
 
-    def step(self, dt: float, z: np.ndarray, accel: np.ndarray) -> tuple[bool, float]:
+    def step(self, dt: float, z, accel=(0.0, 0.0, 0.0)) -> tuple[bool, float]:
         dt = max(dt, 1e-3)
-        eye = np.eye(3)
-        f = np.block([[eye, dt * eye], [np.zeros((3, 3)), eye]])
-        self.x = f @ self.x + np.concatenate([0.5 * dt * dt * accel, dt * accel])
-        g = np.array([0.5 * dt * dt, dt])
-        self.P = f @ self.P @ f.T + self.q * np.kron(np.outer(g, g), eye)
-        s = self.P[:3, :3] + self.R
-        innovation = z - self.x[:3]
-        used = bool(innovation @ np.linalg.solve(s, innovation) <= self.gate)
+        half = 0.5 * dt * dt
+        x0, x1, x2, v0, v1, v2 = self.x
+        a0, a1, a2 = accel
+        x0, x1, x2 = x0 + dt * v0 + half * a0, x1 + dt * v1 + half * a1, x2 + dt * v2 + half * a2
+        v0, v1, v2 = v0 + dt * a0, v1 + dt * a1, v2 + dt * a2
+        pp, pv, vv, zp, zc, zv = self.P
+        pp, pv, vv = pp + dt * (2 * pv + dt * vv) + self.q * half * half, pv + dt * vv + self.q * half * dt, vv + self.q * dt * dt
+        zp, zc, zv = zp + dt * (2 * zc + dt * zv) + self.q * half * half, zc + dt * zv + self.q * half * dt, zv + self.q * dt * dt
+        s, sz = pp + self.r_xy, zp + self.r_z
+        d0, d1, d2 = z[0] - x0, z[1] - x1, z[2] - x2
+        used = (d0 * d0 + d1 * d1) / s + d2 * d2 / sz <= self.gate
         if used:
-            k = np.linalg.solve(s, self.P[:3, :]).T
-            self.x = self.x + k @ innovation
-            self.P = self.P - k @ self.P[:3, :]
-        if np.hypot(self.x[3], self.x[4]) > 0.5:
-            self.yaw = float(np.arctan2(self.x[4], self.x[3]))
-        return used, float(np.sqrt(max(np.trace(self.P[:3, :3]), 0.0) / 3.0))
+            k, kv, kz, kzv = pp / s, pv / s, zp / sz, zc / sz
+            x0, x1, x2 = x0 + k * d0, x1 + k * d1, x2 + kz * d2
+            v0, v1, v2 = v0 + kv * d0, v1 + kv * d1, v2 + kzv * d2
+            pp, pv, vv = pp - k * pp, pv - k * pv, vv - kv * pv
+            zp, zc, zv = zp - kz * zp, zc - kz * zc, zv - kzv * zc
+        self.x, self.P = [x0, x1, x2, v0, v1, v2], [pp, pv, vv, zp, zc, zv]
+        if hypot(v0, v1) > 0.5:
+            self.yaw = atan2(v1, v0)
+        return used, sqrt(max(2 * pp + zp, 0.0) / 3.0)
+
+
+def attitude(df: DataFrame, key: str, time: str, rate: str, nominal: float, out: str, alpha: float = 0.85) -> DataFrame:
+    """`df` with an angle (radians) per row from turning rates (degrees per second), drawn to `nominal`: a' = alpha*(a + rate*dt) + (1-alpha)*nominal.
+
+    The recursion forgets by alpha a step, so a row needs only the last rows whose weight a double
+    can still hold; they are summed in a bounded frame. The first step lasts .1 s, none less than a
+    millisecond; a null rate counts as 0. The series starts at `nominal`.
+    """
+    reach = int(np.ceil(np.log(1e-18) / np.log(alpha)))
+    w = W.partitionBy(key).orderBy(time)
+    dt = F.greatest(F.coalesce(F.col(time) - F.lag(time).over(w), F.lit(0.1)), F.lit(1e-3))
+    x = df.withColumn("_turn", F.radians(F.coalesce(rate, F.lit(0.0))) * dt)
+    turns = F.collect_list("_turn").over(w.rowsBetween(1 - reach, 0))
+    drawn = F.aggregate(turns, F.lit(0.0), lambda acc, v: (acc + v) * alpha)
+    return x.withColumn(out, F.lit(nominal) + drawn).drop("_turn")
 
 
-def kalman(df: DataFrame, key: str, time: str, xyz: list[str], q_accel: float = 0.15, sigma_xy: float = 2.5, sigma_z: float = 5.0, gate: float = 9.0) -> DataFrame:
+def kalman(df: DataFrame, key: str, time: str, xyz: list[str], q_accel: float = 0.15, sigma_xy: float = 2.5, sigma_z: float = 5.0, gate: float = 9.0, accel: list[str] | None = None) -> DataFrame:
     """(key, time, fx, fy, fz, fvx, fvy, fvz, yaw, position_std_m, gps_used) per row of each source.
 
     The filter is a recursion over a whole source. Rows arrive sorted by (key, time) inside hash
     partitions and are filtered as they stream by, so a long source needs no memory; what it can't
-    have is two tasks.
+    have is two tasks. `accel` names measured accelerations, the input of the prediction; a null one counts as 0.
     """
-    names = [key, time, *xyz]
-    rows = df.select(*names).dropna().repartition(key).sortWithinPartitions(key, time)
+    names = [key, time, *xyz, *(accel or [])]
+    rows = df.select(*names).dropna(subset=[key, time, *xyz]).repartition(key).sortWithinPartitions(key, time)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, current, last = None, None, 0.0
-        zero = np.zeros(3)
+        state, current, last, still = None, None, 0.0, (0.0, 0.0, 0.0)
         for pdf in batches:
             out = []
-            for k, t, x, y, z in pdf.itertuples(index=False):
-                p = np.array([x, y, z])
+            for k, t, x, y, z, *a in zip(*[pdf[n].tolist() for n in names], strict=True):
                 if k != current:
-                    state, current, dt = KalmanState(p, q_accel, sigma_xy, sigma_z, gate), k, 0.1
+                    state, current, dt = KalmanState((x, y, z), q_accel, sigma_xy, sigma_z, gate), k, 0.1
                 else:
                     dt = t - last
                 last = t
-                used, std = state.step(dt, p, zero)
+                used, std = state.step(dt, (x, y, z), [0.0 if v is None or v != v else v for v in a] or still)
                 out.append((k, t, *state.x, state.yaw, std, used))
             yield pd.DataFrame(out, columns=[key, time, "fx", "fy", "fz", "fvx", "fvy", "fvz", "yaw", "position_std_m", "gps_used"])
 

@@ -88,7 +88,10 @@ def _(s, d):
     return t.groupBy("flight_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.isnan("height_m"), 1)).alias("n_nan"), F.round(F.avg(G.finite(c("height_m"))), 9).alias("mean_height"))
 
 
-@query("c29_padding_geometry", "SELECT o_orderkey AS id, CAST((518 - floor((320 + o_orderkey % 400) / 14) * 14) / 2 AS BIGINT) AS pad_left, CAST(floor((320 + o_orderkey % 400) / 14) * 14 AS BIGINT) AS width FROM orders WHERE floor((320 + o_orderkey % 400) / 14) * 14 <= 518".replace("floor((320 + o_orderkey % 400) / 14)", "((320 + o_orderkey % 400) // 14)").replace("CAST((518 - ((320 + o_orderkey % 400) // 14) * 14) / 2 AS BIGINT)", "CAST((518 - ((320 + o_orderkey % 400) // 14) * 14) // 2 AS BIGINT)"))
+@query("c29_padding_geometry", """WITH s AS (SELECT o_orderkey AS id, 320 + o_orderkey % 400 AS w, 240 + o_orderkey % 300 AS h FROM orders),
+g AS (SELECT id, CASE WHEN w >= h THEN 518 ELSE least(518, CAST(round_even(w * (518::DOUBLE / h) / 14.0, 0) AS BIGINT) * 14) END::BIGINT AS width,
+CASE WHEN w >= h THEN least(518, CAST(round_even(h * (518::DOUBLE / w) / 14.0, 0) AS BIGINT) * 14) ELSE 518 END::BIGINT AS height FROM s)
+SELECT id, (518 - width) // 2 AS pad_left, width, (518 - height) // 2 AS pad_top, height, CAST(round_even(height * 0.08::DOUBLE, 0) AS BIGINT) AS crop_top FROM g""")
 def _(s, d):
     """The longest side scaled to 518, the other to a multiple of 14, both centred, the top 8 % of the image masked.
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from skyledger.functions import geometry as G
 from skyledger.operators.graph import components, face_edges, small_components
 from skyledger.operators.spatial import in_boxes, k_nearest, nearest
+from skyledger.operators.windows import average_ranks
 from skyledger.plans.fusion import SCORED_SQL, scored
 from skyledger.sources import adapters as A
 from skyledger.tables import table
@@ -93,12 +95,7 @@ def conf_error(s, d):
 @query("e4_fa18_fa19_correlation", f"WITH {CE}, k AS (SELECT conf, err, (rank() OVER (ORDER BY conf))::DOUBLE + (count(*) OVER (PARTITION BY conf) - 1) / 2.0::DOUBLE AS rc, (rank() OVER (ORDER BY err))::DOUBLE + (count(*) OVER (PARTITION BY err) - 1) / 2.0::DOUBLE AS re FROM ce) SELECT round(corr(conf, err), 9) AS pearson, round(corr(rc, re), 9) AS spearman FROM k")
 def _(s, d):
     x = conf_error(s, d)
-    # average ranks from the counts per value: a running count over distinct values, not over rows
-    def ranks(v):
-        n = x.groupBy(v).count()
-        return n.select(v, (F.sum("count").over(W.orderBy(v)) - (c("count") - 1) / 2.0).alias(f"r_{v}"))
-
-    y = x.join(ranks("conf"), "conf").join(ranks("err"), "err")
+    y = x.join(average_ranks(x, "conf", "r_conf"), "conf").join(average_ranks(x, "err", "r_err"), "err")
     return y.agg(r(F.corr("conf", "err")).alias("pearson"), r(F.corr("r_conf", "r_err")).alias("spearman"))
 
 
@@ -178,7 +175,15 @@ def _(s, d):
     return x.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.when(ok, r(c("measured"))).alias("measured"), F.when(ok, r(err)).alias("error"), F.when(ok, r(F.lit(100.0) * err / F.greatest("height", F.lit(1e-6)), 6)).alias("error_pct"))
 
 
-@query("e8_fa12_distances", f"WITH {BLD}, k AS (SELECT * FROM hts WHERE n >= 5 AND id < 40) SELECT a.id AS id_a, b.id AS id_b, round(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)), 9) AS true_d, round(sqrt(pow(a.mx - b.mx, 2) + pow(a.my - b.my, 2)) - sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)), 6) AS error FROM k a JOIN k b ON a.id < b.id")
+@query("fa13_height_summary", f"WITH {BLD}, k AS (SELECT * FROM hts WHERE n >= 5) SELECT count(*) AS n_measured, (SELECT count(*) FROM hts) AS n_total, round(avg(abs(measured - h)), 9) AS mean_abs_m, round(avg(abs(100.0 * (measured - h) / greatest(h, 1e-6))), 6) AS mean_abs_pct FROM k")
+def _(s, d):
+    """How far the measured heights of the buildings are off, in metres and per cent."""
+    x = heights(s, d)
+    err = F.when(c("n") >= 5, F.abs(c("measured") - c("h")))
+    return x.agg(F.count(err).alias("n_measured"), F.count(F.lit(1)).alias("n_total"), r(F.avg(err)).alias("mean_abs_m"), r(F.avg(err * 100.0 / F.greatest("h", F.lit(1e-6))), 6).alias("mean_abs_pct"))
+
+
+@query("e8_fa12_distances", f"WITH {BLD}, k AS (SELECT * FROM hts WHERE n >= 5) SELECT a.id AS id_a, b.id AS id_b, round(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)), 9) AS true_d, round(sqrt(pow(a.mx - b.mx, 2) + pow(a.my - b.my, 2)) - sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)), 6) AS error FROM k a JOIN k b ON a.id < b.id")
 def _(s, d):
     """Distances between all buildings with points, each pair once.
 
@@ -212,9 +217,23 @@ def _(s, d):
     )
 
 
+DIST = "q AS (SELECT err AS d FROM ce), m AS (SELECT avg(d) AS mean, sqrt(avg(d * d)) AS rmse, quantile_cont(d, 0.5) AS p50, quantile_cont(d, 0.9) AS p90, quantile_cont(d, 0.95) AS p95, max(d) AS worst, avg((d <= 0.4)::INT) AS within_04, avg((d <= 1.0)::INT) AS within_1, avg((d <= 2.0)::INT) AS within_2 FROM q)"
+
+
+@query("fa22_surface_consistency", f"WITH {CE}, {DIST} SELECT " + ", ".join(f"round({n}, 9) AS {n}" for n in ("mean", "rmse", "p50", "p90", "p95", "worst", "within_04", "within_1", "within_2")) + ", (mean <= 1.0)::INT + (rmse <= 1.2)::INT + (p90 <= 1.0)::INT + (within_1 >= 0.5)::INT + (within_04 >= 0.9)::INT AS n_met FROM m")
+def _(s, d):
+    """Distances of the reconstructed points to their nearest reference points, against the five targets."""
+    e = c("err")
+    within = lambda v: F.avg((e <= v).cast("int"))
+    m = conf_error(s, d).agg(F.avg(e).alias("mean"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(e, F.array(*[F.lit(q) for q in (0.5, 0.9, 0.95)])).alias("q"), F.max(e).alias("worst"), within(0.4).alias("within_04"), within(1.0).alias("within_1"), within(2.0).alias("within_2"))
+    m = m.withColumns({n: c("q")[i] for i, n in enumerate(("p50", "p90", "p95"))})
+    met = reduce(lambda a, b: a + b, [t.cast("int") for t in (c("mean") <= 1.0, c("rmse") <= 1.2, c("p90") <= 1.0, c("within_1") >= 0.5, c("within_04") >= 0.9)])
+    return m.select(*[r(c(n)).alias(n) for n in ("mean", "rmse", "p50", "p90", "p95", "worst", "within_04", "within_1", "within_2")], met.alias("n_met"))
+
+
 # --- coverage ------------------------------------------------------------------------------
 
-COV = """v AS (SELECT l_partkey AS tri, bool_or(true) AS seen, bool_or(l_suppkey % 10 < 3) AS kept, min(l_discount) AS best FROM lineitem WHERE l_suppkey % 10 < 6 AND l_linenumber <= 2 GROUP BY 1),
+COV = """v AS (SELECT l_partkey AS tri, bool_or(true) AS seen, bool_or(l_suppkey % 2 = 0) AS kept, min(l_discount) AS best FROM lineitem GROUP BY 1),
 st AS (SELECT p_partkey AS triangle_id, p_type AS semantic, CASE WHEN kept THEN 'observed' WHEN seen THEN 'observable_but_dropped' ELSE 'never_observable' END AS status, best FROM part LEFT JOIN v ON p_partkey = tri)"""
 
 
@@ -240,7 +259,7 @@ def _(s, d):
 
 # --- meshes --------------------------------------------------------------------------------
 
-FACE = "fc AS (SELECT l_orderkey * 8 + l_linenumber AS fid, l_orderkey % 500 AS a, l_partkey % 500 AS b, l_suppkey % 500 AS c FROM lineitem), ed AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM fc UNION ALL SELECT least(b, c), greatest(b, c) FROM fc UNION ALL SELECT least(c, a), greatest(c, a) FROM fc), ec AS (SELECT a, b, count(*) AS n FROM ed GROUP BY ALL)"
+FACE = "fc AS (SELECT l_orderkey * 8 + l_linenumber AS fid, l_orderkey % nv AS a, l_partkey % nv AS b, l_suppkey % nv AS c FROM lineitem, (SELECT count(*) AS nv FROM embeddings)), ed AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM fc UNION ALL SELECT least(b, c), greatest(b, c) FROM fc UNION ALL SELECT least(c, a), greatest(c, a) FROM fc), ec AS (SELECT a, b, count(*) AS n FROM ed GROUP BY ALL)"
 
 
 @query("e19_fa21_edge_topology", f"WITH {FACE} SELECT count(*) AS n_edges, count(*) FILTER (WHERE n = 1) AS boundary_edges, count(*) FILTER (WHERE n > 2) AS nonmanifold_edges, (SELECT count(*) FROM fc WHERE a = b OR b = c OR a = c) AS degenerate FROM ec")
@@ -258,7 +277,7 @@ def _(s, d):
     return f.groupBy(F.sort_array(F.array("a", "b", "c")).alias("k")).agg(F.min("fid").alias("fid")).select("fid")
 
 
-@query("fa21_face_areas", f"WITH {GS}, t AS (SELECT l_orderkey * 8 + l_linenumber AS fid, l_orderkey % 500 AS a, l_partkey % 500 AS b, l_suppkey % 500 AS c FROM lineitem), v AS (SELECT t.*, q.x - p.x AS ux, q.y - p.y AS uy, q.z - p.z AS uz, w.x - p.x AS vx, w.y - p.y AS vy, w.z - p.z AS vz FROM t JOIN g p ON p.id = a JOIN g q ON q.id = b JOIN g w ON w.id = c), s AS (SELECT 0.5 * sqrt(pow(uy * vz - uz * vy, 2) + pow(uz * vx - ux * vz, 2) + pow(ux * vy - uy * vx, 2)) AS area FROM v) SELECT count(*) AS n, round(sum(area), 3) AS area, round(quantile_cont(area, 0.5), 9) AS area_p50, round(quantile_cont(area, 0.99), 9) AS area_p99, count(*) FILTER (WHERE area < 1e-10) AS n_flat FROM s")
+@query("fa21_face_areas", f"WITH {GS}, t AS (SELECT l_orderkey * 8 + l_linenumber AS fid, l_orderkey % nv AS a, l_partkey % nv AS b, l_suppkey % nv AS c FROM lineitem, (SELECT count(*) AS nv FROM embeddings)), v AS (SELECT t.*, q.x - p.x AS ux, q.y - p.y AS uy, q.z - p.z AS uz, w.x - p.x AS vx, w.y - p.y AS vy, w.z - p.z AS vz FROM t JOIN g p ON p.id = a JOIN g q ON q.id = b JOIN g w ON w.id = c), s AS (SELECT 0.5 * sqrt(pow(uy * vz - uz * vy, 2) + pow(uz * vx - ux * vz, 2) + pow(ux * vy - uy * vx, 2)) AS area FROM v) SELECT count(*) AS n, round(sum(area), 3) AS area, round(quantile_cont(area, 0.5), 9) AS area_p50, round(quantile_cont(area, 0.99), 9) AS area_p99, count(*) FILTER (WHERE area < 1e-10) AS n_flat FROM s")
 def _(s, d):
     g = A.gaussians(s, d).select("id", "x", "y", "z")
     t = A.faces(s, d)
@@ -281,19 +300,16 @@ def _(s, d):
     return n.crossJoin(F.broadcast(box)).select(F.coalesce("n_components", F.lit(0)).alias("n_components"), r(F.coalesce("largest_frac", F.lit(0.0))).alias("largest_frac"), *[r(c(x)).alias(x) for x in box.columns])
 
 
-CE_SQL = "e0 AS (SELECT l_orderkey % 3000 AS a, l_partkey % 3000 AS b FROM lineitem WHERE l_linenumber = 7 AND l_quantity < 20), e2 AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e0 UNION ALL SELECT b, a FROM e0)), reach(v, m) AS (SELECT DISTINCT a, a FROM e2 UNION SELECT e2.b, reach.m FROM reach JOIN e2 ON reach.v = e2.a), lab AS (SELECT v, min(m) AS component FROM reach GROUP BY 1)"
-
-
 def _edges(s, d):
     """Orders and the parts in them, every row an edge; even numbers are orders, odd ones parts."""
     return table(s, d, "lineitem").select((c("l_orderkey") * 2).alias("a"), (c("l_partkey") * 2 + 1).alias("b"))
 
 
-@query("k10_components", f"WITH RECURSIVE {CE_SQL} SELECT v, component FROM lab")
+@query("k10_components")
 def _(s, d):
     return components(_edges(s, d))
 
 
-@query("d13_h4_small_components", f"WITH RECURSIVE {CE_SQL}, sz AS (SELECT component, count(*) AS size FROM lab GROUP BY 1), kp AS (SELECT component FROM sz WHERE size >= 4 ORDER BY size DESC, component LIMIT 5) SELECT v, component FROM lab SEMI JOIN kp USING (component)")
+@query("d13_h4_small_components")
 def _(s, d):
     return small_components(components(_edges(s, d)), 4, 5).select("v", "component")

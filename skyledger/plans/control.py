@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyledger.functions.decisions import reconstruction_decision, frame_decision
+from skyledger.functions.decisions import evaluation_report, frame_decision, reconstruction_decision, training_control
 from skyledger.sources import adapters as A
 from skyledger.tables import table
 
@@ -110,6 +110,40 @@ def _(s, d):
     return x.select("event_id", "valid", "action", "voxel_size", "depth_min", "depth_max", "prune_below", c("n_depths").cast("bigint").alias("n_depths"), "agent_confidence")
 
 
+REPORTS = """e AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"verdict":"accept","diagnosis":"' || repeat(event_type || ' ', 500) || '","suggested_next_step":"hold"}' WHEN 1 THEN '```json' || chr(10) || '{"verdict":"maybe","diagnosis":7}' || chr(10) || '```'
+WHEN 2 THEN 'prose' WHEN 3 THEN '{"action":"early_stop","reasoning":"' || repeat('flat ', 300) || '","agent_confidence":' || value || '}' WHEN 4 THEN '{"__error__":"timeout"}' ELSE '{"verdict":"reject","action":"explode","agent_confidence":"high"}' END AS raw FROM events),
+o AS (SELECT event_id, regexp_replace(raw, '^```(?:json)?\\s*|\\s*```$', '', 'g') AS t FROM e), j AS (SELECT event_id, CASE WHEN json_valid(t) AND json_extract_string(t, '$.__error__') IS NULL THEN t::JSON END AS o FROM o)"""
+
+
+def raw_reports(s, d):
+    k = F.pmod("event_id", F.lit(6))
+    raw = (
+        F.when(k == 0, F.concat(F.lit('{"verdict":"accept","diagnosis":"'), F.repeat(F.concat("event_type", F.lit(" ")), F.lit(500)), F.lit('","suggested_next_step":"hold"}')))
+        .when(k == 1, '```json\n{"verdict":"maybe","diagnosis":7}\n```')
+        .when(k == 2, "prose")
+        .when(k == 3, F.concat(F.lit('{"action":"early_stop","reasoning":"'), F.repeat(F.lit("flat "), F.lit(300)), F.lit('","agent_confidence":'), c("value").cast("string"), F.lit("}")))
+        .when(k == 4, '{"__error__":"timeout"}')
+        .otherwise('{"verdict":"reject","action":"explode","agent_confidence":"high"}')
+    )
+    return table(s, d, "events").select("event_id", raw.alias("raw"))
+
+
+@query("l5_evaluation_report", f"""WITH {REPORTS} SELECT event_id, o IS NOT NULL AS valid, CASE WHEN o->>'verdict' IN ('accept', 'needs_more_data', 'reject') THEN o->>'verdict' ELSE 'needs_more_data' END AS verdict,
+CASE WHEN json_type(o, '$.diagnosis') = 'VARCHAR' THEN left(o->>'diagnosis', 2000) ELSE '' END AS diagnosis, CASE WHEN json_type(o, '$.suggested_next_step') = 'VARCHAR' THEN left(o->>'suggested_next_step', 500) ELSE '' END AS suggested_next_step,
+(o IS NULL OR NOT coalesce(o->>'verdict' IN ('accept', 'needs_more_data', 'reject'), false))::BIGINT AS n_warnings FROM j""")
+def _(s, d):
+    x = evaluation_report(raw_reports(s, d), "raw")
+    return x.select("event_id", "valid", "verdict", "diagnosis", "suggested_next_step", F.size("warnings").cast("bigint").alias("n_warnings"))
+
+
+@query("l5_training_control", f"""WITH {REPORTS}, v AS (SELECT *, coalesce(try_cast(o->>'agent_confidence' AS DOUBLE), 0.5) AS ac FROM j) SELECT event_id, o IS NOT NULL AS valid, CASE WHEN o->>'action' IN ('continue', 'stop_densifying', 'early_stop') THEN o->>'action' ELSE 'continue' END AS action,
+CASE WHEN json_type(o, '$.reasoning') = 'VARCHAR' THEN left(o->>'reasoning', 800) ELSE '' END AS reasoning, CASE WHEN o IS NULL THEN 0.0 ELSE greatest(0, least(1, ac)) END::DOUBLE AS agent_confidence,
+CASE WHEN o IS NULL THEN 1 ELSE (NOT coalesce(o->>'action' IN ('continue', 'stop_densifying', 'early_stop'), false))::INT + (o->>'agent_confidence' IS NOT NULL AND try_cast(o->>'agent_confidence' AS DOUBLE) IS NULL)::INT + (ac < 0 OR ac > 1)::INT END::BIGINT AS n_warnings FROM v""")
+def _(s, d):
+    x = training_control(raw_reports(s, d), "raw")
+    return x.select("event_id", "valid", "action", "reasoning", "agent_confidence", F.size("warnings").cast("bigint").alias("n_warnings"))
+
+
 @query("j15_apply_overrides", f"WITH {CLEAN} SELECT event_id, coalesce(greatest(0.3, least(10.0, try_cast(o->>'voxel_size' AS DOUBLE))), 0.4)::DOUBLE AS voxel_size FROM j WHERE o->>'voxel_size' IS NOT NULL")
 def _(s, d):
     """A decision's non-null fields replace the configuration's."""
@@ -130,8 +164,8 @@ def _(s, d):
     return table(s, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), r(F.avg("l_quantity")).alias("mean_quantity"))
 
 
-@query("d20_bounds_match", "WITH b AS (SELECT flight_id, max(pos_x) AS hi, min(pos_x) AS lo FROM fused_pose GROUP BY 1) SELECT flight_id, greatest(abs(hi - round(hi, 0)), abs(lo - round(lo, 0))) <= 0.25 AS matches FROM b")
+@query("d20_bounds_match", "SELECT flight_id, coalesce(greatest(" + ", ".join(f"abs({f}({a}) - {f}({a}) FILTER (WHERE gps_used))" for f in ("min", "max") for a in ("pos_x", "pos_y", "pos_z")) + ") <= 0.5, false) AS matches FROM fused_pose GROUP BY 1")
 def _(s, d):
-    b = table(s, d, "fused_pose").groupBy("flight_id").agg(F.max("pos_x").alias("hi"), F.min("pos_x").alias("lo"))
-    off = lambda v: F.abs(c(v) - F.round(v, 0))
-    return b.select("flight_id", (F.greatest(off("hi"), off("lo")) <= 0.25).alias("matches"))
+    """Whether the bounds of the poses with a position fix are those of all poses, to half a metre; a flight without fixes has none."""
+    off = [F.abs(f(a) - f(F.when(c("gps_used"), c(a)))) for f in (F.min, F.max) for a in ("pos_x", "pos_y", "pos_z")]
+    return table(s, d, "fused_pose").groupBy("flight_id").agg(F.coalesce(F.greatest(*off) <= 0.5, F.lit(False)).alias("matches"))

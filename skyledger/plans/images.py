@@ -87,20 +87,21 @@ def _(s, d):
 
 # --- overlap of consecutive frames ------------------------------------------------------------
 
-BITS = " + ".join(f"(embedding[{i + 1}] > 0)::BIGINT * {1 << i}" for i in range(62))
-OV = f"""ds AS (SELECT vec_id AS kp, label::BIGINT AS frame, {BITS} AS bits, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py FROM embeddings),
+BITS = " + ".join(f"(embedding[{i + 1}] > 0)::UBIGINT * {1 << i}::UBIGINT" for i in range(64))
+OV = f"""ds AS (SELECT vec_id AS kp, (vec_id // 200)::BIGINT AS frame, {BITS} AS bits, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py FROM embeddings),
 pr AS (SELECT a.frame AS i, a.kp, b.kp AS other, bit_count(xor(a.bits, b.bits))::BIGINT AS h, sqrt(pow(a.px - b.px, 2) + pow(a.py - b.py, 2)) AS disp FROM ds a JOIN ds b ON b.frame = a.frame + 1),
 rk AS (SELECT *, row_number() OVER (PARTITION BY i, kp ORDER BY h, other) AS k FROM pr),
 mt AS (SELECT i, kp, max(h) FILTER (WHERE k = 1) AS best, max(h) FILTER (WHERE k = 2) AS second, max(disp) FILTER (WHERE k = 1) AS disp FROM rk WHERE k <= 2 GROUP BY 1, 2),
 nk AS (SELECT frame, count(*) AS n FROM ds GROUP BY 1),
-ov AS (SELECT a.frame AS i, b.frame AS j, a.n AS n_i, b.n AS n_j, coalesce(m.n, 0) AS n_matches, coalesce(m.n, 0)::DOUBLE / greatest(1, least(a.n, b.n)) AS ratio, m.disp AS disp FROM nk a JOIN nk b ON b.frame = a.frame + 1 LEFT JOIN (SELECT i, count(*) AS n, quantile_cont(disp, 0.5) AS disp FROM mt WHERE best < 0.9 * second GROUP BY 1) m ON m.i = a.frame),
+ov AS (SELECT a.frame AS i, b.frame AS j, a.n AS n_i, b.n AS n_j, coalesce(m.n, 0) AS n_matches, coalesce(m.n, 0)::DOUBLE / greatest(1, least(a.n, b.n)) AS ratio, m.disp AS disp FROM nk a JOIN nk b ON b.frame = a.frame + 1 LEFT JOIN (SELECT i, count(*) AS n, quantile_cont(disp, 0.5) AS disp FROM mt WHERE best < 0.75 * second GROUP BY 1) m ON m.i = a.frame),
 stt AS (SELECT *, CASE WHEN n_i < 12 OR n_j < 12 THEN 'indeterminate' WHEN ratio >= 0.85 AND disp <= 1.5 THEN 'duplicate_risk' WHEN ratio < 0.12 THEN 'gap_risk' ELSE 'ok' END AS status FROM ov)"""
 
 
-def matches(s, d, ratio=0.9):
+def matches(s, d, ratio=0.75):
     """Each keypoint's nearest and second descriptor of the next frame, kept where the first is clearly nearer.
 
-    Frames meet by number; a detector gives a frame a bounded number of keypoints.
+    Frames meet by number; a detector gives a frame a bounded number of keypoints (here 200), which
+    bounds the candidates of a keypoint and makes the pairs grow with the frames, not with their square.
     """
     a = A.descriptors(s, d)
     b = a.select((c("frame") - 1).alias("frame"), c("kp").alias("other"), c("bits").alias("b2"), c("px").alias("px2"), c("py").alias("py2"))

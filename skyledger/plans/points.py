@@ -42,7 +42,7 @@ def _(s, d):
     return x.groupBy("frame_idx").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ok, 1)).alias("n_valid"))
 
 
-ACC = f"""{OBS_SQL}, o2 AS (SELECT l_partkey % 1000 AS id, l_discount AS view_angle, l_tax / 0.08::DOUBLE AS consistency, 0.5::DOUBLE + l_linenumber::DOUBLE / 14.0::DOUBLE AS frame_quality, (l_orderkey % 100)::DOUBLE / 100.0::DOUBLE AS pose_confidence FROM lineitem WHERE l_partkey % 1000 < 900),
+ACC = f"""{OBS_SQL}, o2 AS (SELECT l_partkey AS id, l_discount AS view_angle, l_tax / 0.08::DOUBLE AS consistency, 0.5::DOUBLE + l_linenumber::DOUBLE / 14.0::DOUBLE AS frame_quality, (l_orderkey % 100)::DOUBLE / 100.0::DOUBLE AS pose_confidence FROM lineitem),
 acc AS (SELECT id, count(*) AS obs_count, min(view_angle) AS angle_min, max(view_angle) AS angle_max, sum(consistency) AS consistency_sum, sum(frame_quality) AS quality_sum, sum(pose_confidence) AS pose_sum FROM o2 GROUP BY 1),
 onl AS (SELECT *, exp(0.30 * ln(1.0 - exp(-greatest(obs_count::DOUBLE - 1.0, 0.0) / 1.5) + 1e-6) + 0.20 * ln(greatest(0.0, least(1.0, (angle_max - angle_min) / radians(6.0))) + 1e-6) + 0.25 * ln(greatest(0.0, least(1.0, consistency_sum / obs_count)) + 1e-6) + 0.15 * ln(greatest(0.0, least(1.0, quality_sum / obs_count)) + 1e-6) + 0.10 * ln(greatest(0.0, least(1.0, pose_sum / obs_count)) + 1e-6)) AS c0 FROM acc),
 online AS (SELECT *, CASE WHEN obs_count <= 1 THEN least(c0, 0.55) ELSE c0 END AS conf FROM onl)"""
@@ -78,7 +78,7 @@ def _(s, d):
     return online_confidence(accumulate(s, d)).select("id", r(c("confidence")).alias("confidence"))
 
 
-PRIOR_SQL = "prior AS (SELECT p_partkey AS id, p_size::DOUBLE / 50.0 AS prior FROM part WHERE p_partkey < 1000)"
+PRIOR_SQL = "prior AS (SELECT p_partkey AS id, p_size::DOUBLE / 50.0 AS prior FROM part)"
 BLEND_SQL = f"{ACC}, {PRIOR_SQL}, blend AS (SELECT prior.id, prior, coalesce(obs_count, 0) AS obs_count, CASE WHEN obs_count > 0 THEN 0.5 * conf + 0.5 * prior ELSE prior END AS conf FROM prior LEFT JOIN online USING (id))"
 
 
@@ -130,6 +130,25 @@ def _(s, d):
     return x.select("confidence", F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), r(F.sum("confidence"), 6).alias("confidence_sum"))
 
 
+@query("k20_child_rows", f"""WITH {GATE_SQL}, z AS (SELECT *, 0.001 + (id % 50)::DOUBLE / 1000.0 AS scale FROM gate), k AS (SELECT id, 0 AS child, scale, opacity, conf FROM z WHERE NOT prune AND NOT (densify AND scale > 0.01)
+UNION ALL SELECT id, 1, scale, opacity, conf FROM z WHERE densify AND scale <= 0.01 UNION ALL SELECT id, i::INT, scale / 1.6::DOUBLE, opacity, conf FROM z, (VALUES (1), (2)) AS v(i) WHERE densify AND scale > 0.01)
+SELECT id, child, round(scale, 9) AS scale, round(least(opacity, 0.01), 9) AS reset_opacity, round(conf, 9) AS confidence FROM k""")
+def _(s, d):
+    """The rows after densification: a small primitive stays and is copied, a large one gives way to two children of scale / 1.6.
+
+    Children keep the parent's confidence and opacity; the opacity reset caps the latter at .01.
+    Child 0 is the row itself.
+    """
+    x = gated(s, d).withColumn("scale", F.lit(0.001) + F.pmod("id", F.lit(50)).cast("double") / 1000.0)
+    large = c("scale") > 0.01
+    none = F.array().cast("array<struct<child:int,scale:double>>")
+    row = lambda i, v: F.struct(F.lit(i).alias("child"), v.alias("scale"))
+    itself = F.when(~c("prune") & ~(c("densify") & large), F.array(row(0, c("scale")))).otherwise(none)
+    children = F.when(c("densify") & large, F.array(*[row(i, c("scale") / 1.6) for i in (1, 2)])).when(c("densify"), F.array(row(1, c("scale")))).otherwise(none)
+    x = x.select("id", "opacity", "confidence", F.inline(F.concat(itself, children)))
+    return x.select("id", "child", r(c("scale")).alias("scale"), r(F.least("opacity", F.lit(0.01))).alias("reset_opacity"), r(c("confidence")).alias("confidence"))
+
+
 @query("k21_struggle", "SELECT vec_id AS id, round(CASE WHEN vec_id % 10 = 0 THEN 0.0 ELSE sqrt(pow(embedding[14]::DOUBLE, 2) + pow(embedding[15]::DOUBLE, 2)) / (sqrt(abs(embedding[16]::DOUBLE)) + 1e-8) END, 9) AS struggle FROM embeddings")
 def _(s, d):
     """Optimizer moment over the root of the second moment; zero before warm-up."""
@@ -186,14 +205,14 @@ def _(s, d):
     return spatial_grid(scored(s, d)).agg(F.count(F.lit(1)).alias("n_occupied"), ((F.max("cell_x") + 1) * (F.max("cell_y") + 1) - F.count(F.lit(1))).alias("n_empty"))
 
 
-@query("h2_d17_c27_weak_regions", f"""WITH {GRID_SQL}, m AS (SELECT avg(center_x) AS mx, avg(center_y) AS my FROM grid), w AS (SELECT *, center_x - mx AS dx, center_y - my AS dy FROM grid, m WHERE n_points >= 5 AND low_fraction > 0.02)
+@query("h2_d17_c27_weak_regions", f"""WITH {GRID_SQL}, m AS (SELECT avg(center_x) AS mx, avg(center_y) AS my FROM grid), w AS (SELECT *, center_x - mx AS dx, center_y - my AS dy FROM grid, m WHERE n_points >= 5 AND low_fraction > 0.2)
 SELECT cell_x, cell_y, n_points, round(low_fraction, 3) AS low_fraction, CASE WHEN abs(dx) < 1e-6 AND abs(dy) < 1e-6 THEN 'central' WHEN abs(dy) < 0.4 * abs(dx) THEN CASE WHEN dx > 0 THEN 'east' ELSE 'west' END WHEN abs(dx) < 0.4 * abs(dy) THEN CASE WHEN dy > 0 THEN 'north' ELSE 'south' END ELSE CASE WHEN dy > 0 THEN 'north' ELSE 'south' END || CASE WHEN dx > 0 THEN 'east' ELSE 'west' END END AS direction
 FROM w ORDER BY low_fraction DESC, n_points, cell_x, cell_y LIMIT 10""")
 def _(s, d):
     """The ten weakest cells with enough points (a top-k report)."""
     g = spatial_grid(scored(s, d))
     m = g.agg(F.avg("center_x").alias("mx"), F.avg("center_y").alias("my"))
-    w = g.where("n_points >= 5 and low_fraction > 0.02").crossJoin(F.broadcast(m))
+    w = g.where("n_points >= 5 and low_fraction > 0.2").crossJoin(F.broadcast(m))
     w = w.orderBy(c("low_fraction").desc(), "n_points", "cell_x", "cell_y").limit(10)
     return w.select("cell_x", "cell_y", "n_points", r(c("low_fraction"), 3).alias("low_fraction"), G.compass(c("center_x") - c("mx"), c("center_y") - c("my")).alias("direction"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyledger.functions import geometry as G
+from skyledger.operators.blocks import meet_salted
 from skyledger.operators import windows as T
 from skyledger.sources import adapters as A
 from skyledger.sources.srt import frame_count_blocks, sample_blocks, as_srt_text
@@ -79,13 +80,12 @@ def _(s, d):
     return A.frames(s, d).select("flight_id", "idx", r(G.quality_overall(c("blur"), c("exposure"), c("compression"), c("coverage"))).alias("overall"))
 
 
-@query("d1_i2_select_frames", f"WITH {FR}, n AS (SELECT *, count(*) OVER (PARTITION BY flight_id) AS n FROM f), k AS (SELECT flight_id, idx, overall, n, row_number() OVER (PARTITION BY flight_id ORDER BY overall DESC, idx) AS rk FROM n WHERE overall >= 0.15) SELECT f.flight_id, f.idx, coalesce(k.rk <= greatest(3, round_even(k.n * 0.7::DOUBLE, 0)), false) AS kept FROM f LEFT JOIN k USING (flight_id, idx)")
+@query("d1_i2_select_frames", f"WITH {FR}, n AS (SELECT *, count(*) OVER (PARTITION BY flight_id) AS n FROM f WHERE overall >= 0.15), k AS (SELECT flight_id, idx, overall, n, row_number() OVER (PARTITION BY flight_id ORDER BY overall DESC, idx) AS rk FROM n WHERE overall >= 0.15) SELECT f.flight_id, f.idx, coalesce(k.rk <= greatest(3, round_even(k.n * 0.7::DOUBLE, 0)), false) AS kept FROM f LEFT JOIN k USING (flight_id, idx)")
 def _(s, d):
-    """The best 70 % (at least 3) of a flight's frames above the floor; the others are rejected."""
+    """The best 70 % (at least 3) of those frames of a flight that reach the floor; all others are rejected."""
     x = A.frames(s, d).select("flight_id", "idx", "overall")
-    w = W.partitionBy("flight_id")
-    x = x.withColumn("n", F.count(F.lit(1)).over(w))
     ok = c("overall") >= 0.15
+    x = x.withColumn("n", F.count(F.when(ok, 1)).over(W.partitionBy("flight_id")))
     rank = F.row_number().over(W.partitionBy("flight_id", ok).orderBy(c("overall").desc(), "idx"))
     return x.select("flight_id", "idx", F.coalesce(ok & (rank <= F.greatest(F.lit(3.0), F.bround(c("n") * 0.7))), F.lit(False)).alias("kept"))
 
@@ -167,11 +167,17 @@ def _(s, d):
 
 @query("d9_h9_stable_focal", None)
 def _(s, d):
-    """Longest run of each flight whose focal length stays within a tenth of its first; the first of equal ones."""
-    x = T.stable_runs(A.samples(s, d).where("focal_len_mm is not null"), "flight_id", "seq", "focal_len_mm")
+    """Longest run of each flight whose focal length stays within a tenth of its first; the first of equal ones.
+
+    A flight that lacks a focal length anywhere is left as it is: one run of all its samples.
+    """
+    v = A.samples(s, d).select("flight_id", "seq", "focal_len_mm")
+    lacks = v.groupBy("flight_id").agg(F.max(c("focal_len_mm").isNull()).alias("lacks"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n"))
+    whole = lacks.where("lacks").select("flight_id", "first_seq", "last_seq", "n")
+    x = T.stable_runs(meet_salted(v, lacks.where("not lacks").select("flight_id"), ["flight_id"], c("seq")), "flight_id", "seq", "focal_len_mm")
     n = x.groupBy("flight_id", "run").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("flight_id").orderBy(c("n").desc(), "run")
-    return n.withColumn("k", F.row_number().over(w)).where("k = 1").select("flight_id", "first_seq", "last_seq", "n")
+    best = n.groupBy("flight_id").agg(F.max_by(F.struct("first_seq", "last_seq", "n"), F.struct("n", -c("first_seq"))).alias("b"))
+    return best.select("flight_id", "b.*").unionByName(whole)
 
 
 @query("c14_zoomed_intrinsics", f"WITH {S}, z AS (SELECT flight_id, seq, focal_len_mm, first_value(focal_len_mm) OVER (PARTITION BY flight_id ORDER BY seq) AS f0 FROM s WHERE focal_len_mm IS NOT NULL) SELECT flight_id, seq, round(CASE WHEN f0 > 1e-6 THEN 355.5 * focal_len_mm / f0 ELSE 355.5 END, 9) AS fx FROM z")

@@ -74,12 +74,12 @@ def patches(spark: SparkSession, d: str) -> DataFrame:
 
 
 def descriptors(spark: SparkSession, d: str) -> DataFrame:
-    """64 sign bits of each embedding as one integer per keypoint; the label is the frame."""
+    """64 sign bits of each embedding as one integer per keypoint; 200 keypoints in order make a frame."""
     bit = lambda i: F.when(c("embedding")[i] > 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
     word = bit(0)
-    for i in range(1, 62):
+    for i in range(1, 64):
         word = word.bitwiseOR(bit(i))
-    return table(spark, d, "embeddings").select(c("vec_id").alias("kp"), c("label").cast("bigint").alias("frame"), word.alias("bits"), _e(0).alias("px"), _e(1).alias("py"))
+    return table(spark, d, "embeddings").select(c("vec_id").alias("kp"), F.floor(c("vec_id") / 200).cast("bigint").alias("frame"), word.alias("bits"), _e(0).alias("px"), _e(1).alias("py"))
 
 
 def buildings(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,25 +48,25 @@ def sessions(stream: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
 
 
 def filtered_positions(stream: DataFrame) -> DataFrame:
-    """The position filter per key over a stream of (user_id, t, x): its state is six numbers and a covariance."""
+    """The position filter per key over a stream of (user_id, t, x): its state is six numbers and six variances."""
     from skyledger.operators.windows import KalmanState
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         k, last = None, None
         if state.exists:
             flat, last = state.get
-            k = KalmanState(np.zeros(3), 0.15, 2.5, 5.0, 9.0)
-            k.x, k.P = np.array(flat[:6]), np.array(flat[6:]).reshape(6, 6)
+            k = KalmanState((0.0, 0.0, 0.0), 0.15, 2.5, 5.0, 9.0)
+            k.x, k.P = list(flat[:6]), list(flat[6:])
         pdf = pd.concat(list(pdfs)).sort_values("t")
         out = []
         for t, x in zip(pdf.t, pdf.x, strict=True):
-            z = np.array([x, 0.0, 0.0])
+            z = (x, 0.0, 0.0)
             dt = 0.1 if k is None else t - last
             k = k or KalmanState(z, 0.15, 2.5, 5.0, 9.0)
-            used, std = k.step(dt, z, np.zeros(3))
+            used, std = k.step(dt, z)
             out.append((key[0], t, k.x[0], std, used))
             last = t
-        state.update(([*k.x.tolist(), *k.P.ravel().tolist()], last))
+        state.update(([*k.x, *k.P], last))
         yield pd.DataFrame(out, columns=["user_id", "t", "x", "position_std_m", "used"])
 
     g = stream.select("user_id", F.unix_micros("ts").cast("double").alias("us"), "value").select("user_id", (c("us") / 1e6).alias("t"), c("value").alias("x"))

@@ -189,6 +189,75 @@ def test_filter_smooths_and_rejects_outliers(spark):
     assert not out.gps_used[150] and np.sqrt(((out.fx - truth)[keep] ** 2).mean()) < np.sqrt(((z - truth)[keep] ** 2).mean())
 
 
+def test_filter_equals_the_matrix_form(spark):
+    """Two 2x2 blocks instead of a 6x6 covariance, with accelerations, against the textbook's matrices."""
+    rng = np.random.default_rng(4)
+    n = 120
+    t, z, a = np.cumsum(rng.uniform(0.05, 0.4, n)), rng.normal(0, 4, (n, 3)).cumsum(0), rng.normal(0, 1, (n, 3))
+    z[40] += 90
+    df = spark.createDataFrame([("f", float(t[i]), *map(float, z[i]), *map(float, a[i])) for i in range(n)], "k string, t double, x double, y double, z double, ax double, ay double, az double")
+    got = T.kalman(df, "k", "t", ["x", "y", "z"], accel=["ax", "ay", "az"]).orderBy("t").toPandas()
+    x, p, last = np.r_[z[0], 0, 0, 0], np.eye(6) * 25, t[0] - 0.1
+    r = np.diag([2.5**2, 2.5**2, 25.0])
+    for i in range(n):
+        dt, last = t[i] - last, t[i]
+        f = np.eye(6)
+        f[:3, 3:] = dt * np.eye(3)
+        g = np.vstack([0.5 * dt * dt * np.eye(3), dt * np.eye(3)])
+        x, p = f @ x + g @ a[i], f @ p @ f.T + 0.15**2 * g @ g.T
+        s, y = p[:3, :3] + r, z[i] - x[:3]
+        used = y @ np.linalg.solve(s, y) <= 9
+        if used:
+            k = p[:, :3] @ np.linalg.inv(s)
+            x, p = x + k @ y, p - k @ p[:3]
+        row = got.iloc[i]
+        assert row.gps_used == used and np.allclose([row.fx, row.fy, row.fz, row.fvx, row.fvy, row.fvz], x) and np.isclose(row.position_std_m, np.sqrt(np.trace(p[:3, :3]) / 3))
+
+
+def test_attitude_equals_the_recursion(spark):
+    rng = np.random.default_rng(5)
+    t, rate = np.cumsum(rng.uniform(0.05, 0.3, 400)), rng.normal(0, 20, 400)
+    df = spark.createDataFrame([("f", float(a), float(b)) for a, b in zip(t, rate)], "k string, t double, g double")
+    got = T.attitude(df, "k", "t", "g", -0.7, "pitch").orderBy("t").toPandas().pitch
+    a, want = -0.7, []
+    for i in range(400):
+        a = 0.85 * (a + np.radians(rate[i]) * (t[i] - t[i - 1] if i else 0.1)) + 0.15 * -0.7
+        want.append(a)
+    assert np.allclose(got, want)
+
+
+def test_ema_of_long_and_short_keys(spark):
+    rng = np.random.default_rng(6)
+    data = {"long": rng.normal(0, 1, 1500), "short": rng.normal(0, 1, 5), "one": [3.0]}
+    df = spark.createDataFrame([(k, i, float(v)) for k, vs in data.items() for i, v in enumerate(vs)] + [("long", 5000, None)], "k string, i int, v double")
+    for row in T.ema(df, ["k"], "i", "v").collect():
+        want = data[row.k][0]
+        for v in data[row.k][1:]:
+            want = 0.85 * want + 0.15 * v
+        assert row.ema == pytest.approx(want, abs=1e-12) and row.n == len(data[row.k])
+
+
+def test_average_ranks_equal_scipy_style_ranks(spark):
+    v = [5.0, 1.0, 1.0, 7.0, 5.0, 5.0, -2.0]
+    got = {r.v: r.rank for r in T.average_ranks(spark.createDataFrame([(x,) for x in v], "v double"), "v", "rank").collect()}
+    assert got == {-2.0: 1.0, 1.0: 2.5, 5.0: 5.0, 7.0: 7.0}
+
+
+def test_gradient_of_two_rows_at_one_time_is_null(spark):
+    df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 2.0), ("b", 0.0, 0.0), ("b", 2.0, 4.0)], "k string, t double, v double")
+    got = df.select("k", T.gradient("v", "t", "k").alias("g")).collect()
+    assert [r.g for r in got if r.k == "a"] == [None, None] and [r.g for r in got if r.k == "b"] == [2.0, 2.0]
+
+
+def test_a_flat_cloud_is_no_frustum(spark):
+    from skyledger.operators.thresholds import frustum_verdict
+
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(float(a), float(b), 5.0) for a, b in rng.uniform(0, 10, (400, 2))], "x double, y double, z double")
+    assert not frustum_verdict(df).first().is_frustum
+    assert not frustum_verdict(spark.createDataFrame([(1.0, 1.0, 1.0)] * 300, "x double, y double, z double")).first().is_frustum
+
+
 def test_image_measures():
     flat, rng = np.full((1, 16, 16), 100.0), np.random.default_rng(0)
     noisy = rng.uniform(0, 255, (1, 16, 16))
@@ -212,6 +281,22 @@ def test_decisions_never_fail(spark):
     assert got[1].action == "accept" and got[1].agent_confidence == 0.0
 
 
+def test_reports_and_training_decisions(spark):
+    from skyledger.functions.decisions import evaluation_report, training_control
+
+    rows = [(0, '{"verdict":"accept","diagnosis":"' + "x" * 3000 + '","suggested_next_step":5}'), (1, '{"verdict":"best"}'), (2, None), (3, '```\n{"action":"early_stop","agent_confidence":7,"reasoning":"r"}\n```'), (4, "{bad}"), (5, '{"action":null,"agent_confidence":"x"}')]
+    df = spark.createDataFrame(rows, "i int, t string")
+    e = {r.i: r for r in evaluation_report(df, "t").collect()}
+    assert (e[0].verdict, len(e[0].diagnosis), e[0].suggested_next_step, e[0].warnings) == ("accept", 2000, "", [])
+    assert (e[1].verdict, e[1].warnings) == ("needs_more_data", ["other_verdict"]) and (e[2].valid, e[2].warnings) == (False, ["no_text"]) and e[4].warnings == ["broken_object"]
+    g = {r.i: r for r in training_control(df, "t").collect()}
+    assert (g[3].action, g[3].agent_confidence, g[3].reasoning, len(g[3].warnings)) == ("early_stop", 1.0, "r", 1)
+    assert (g[2].action, g[2].agent_confidence) == ("continue", 0.0) and (g[5].action, g[5].agent_confidence, len(g[5].warnings)) == ("continue", 0.5, 2)
+    flags = spark.createDataFrame([(0, '{"flags": ["a", 2, {"x": 1}, null, [1], "' + "y" * 300 + '"]}'), (1, '{"flags": "a"}')], "i int, t string")
+    f = {r.i: r.flags for r in frame_decision(flags, "t").collect()}
+    assert f[0] == ["a", "2", "y" * 200] and f[1] == []
+
+
 def test_sinks(spark, tmp_path):
     pts = spark.createDataFrame([(0, 1.0, 2.0, 3.0, 0.0, 0.5, 1.0), (1, 4.0, 5.0, 6.0, 1.0, 1.0, 1.0)], "id long, x double, y double, z double, r double, g double, b double")
     X.write_lines(X.ply_lines(pts), str(tmp_path / "ply"), "line_no")

@@ -77,20 +77,23 @@ def _kind(value: Column) -> Column:
 
 
 def _number(text: Column) -> Column:
-    """A number, also one with a short unit behind it, or a clock time in seconds."""
+    """A number, also one with a short unit behind it, or a clock time in seconds. Patterns are tried only where a plain cast fails."""
     plain = F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*[^\d\s.,:]{0,4}\s*$", 1).try_cast("double")
     part = lambda i: F.regexp_extract(text, r"^(\d+):(\d{2}):(\d{2}(?:[.,]\d+)?)$", i)
     clock = part(1).try_cast("double") * 3600 + part(2).try_cast("double") * 60 + F.replace(part(3), F.lit(","), F.lit(".")).try_cast("double")
-    return F.coalesce(plain, clock)
+    return F.coalesce(text.try_cast("double"), F.when(F.contains(text, F.lit(":")), clock).otherwise(plain))
 
 
-def _values(records: DataFrame) -> DataFrame:
-    """(file_id, rec_no, key, kind, text): a row per key of each payload that is a JSON object; null values have a null text."""
+def _entries(records: DataFrame) -> DataFrame:
+    """(file_id, rec_no, key, kind, v): a row per key of each payload that is a JSON object, with its value as a variant."""
     rows = records.select(c("file_id").cast("bigint").alias("file_id"), c("rec_no").cast("int").alias("rec_no"), "payload").where("file_id is not null and payload is not null")
     x = rows.select("file_id", "rec_no", F.explode(F.map_entries(F.from_json("payload", "map<string,variant>"))).alias("e"))
-    kind = _kind(c("e.value"))
-    x = x.select("file_id", "rec_no", "e.key", kind.alias("kind"), c("e.value").alias("v"))
-    return x.withColumn("text", F.when(c("kind").isNotNull(), F.try_variant_get("v", "$", "string"))).drop("v")
+    return x.select("file_id", "rec_no", "e.key", _kind(c("e.value")).alias("kind"), c("e.value").alias("v"))
+
+
+def _values(records: DataFrame) -> DataFrame:
+    """The entries with their values as text; null values have a null text."""
+    return _entries(records).withColumn("text", F.when(c("kind").isNotNull(), F.try_variant_get("v", "$", "string"))).drop("v")
 
 
 def fingerprints(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -102,15 +105,18 @@ def fingerprints(files: DataFrame, records: DataFrame) -> DataFrame:
     profile holds the range of the numbers, the classes of the values and two signatures of the texts;
     placeholders don't count in it.
     """
-    v = _values(records).withColumn("said", F.when(~F.trim("text").isin(*PLACEHOLDERS), c("text")))
-    v = v.withColumn("flag", F.lower("said").isin("true", "false"))
-    v = v.withColumn("num", F.when(c("flag"), (F.lower("said") == "true").cast("double")).otherwise(_number(c("said"))))
+    # only texts are read as texts; numbers and flags come typed
+    v = _entries(records).withColumn("text", F.when(~c("kind").isin("number", "boolean"), F.try_variant_get("v", "$", "string")))
+    v = v.withColumn("text", F.when(~F.trim("text").isin(*PLACEHOLDERS), c("text")))
+    num = F.when(c("kind") == "number", F.try_variant_get("v", "$", "double")).when(c("kind") == "boolean", F.try_variant_get("v", "$", "boolean").cast("double"))
+    num = num.when(F.lower("text").isin("true", "false"), (F.lower("text") == "true").cast("double")).when(c("text").isNotNull(), _number(c("text")))
+    v = v.withColumn("num", F.when(F.abs(num) < 1e300, num)).withColumn("said", c("num").isNotNull() | c("text").isNotNull())
     bit = lambda n: F.expr(f"shiftleft(1L, cast(pmod({n}, 64) as int))")
     v = v.withColumns(
         {
-            "cls": F.when(c("said").isNull(), 0).when(c("num").isin(0.0, 1.0), FLAG).when(c("num").isNotNull(), NUMBER).otherwise(TEXT),
-            "sig": F.when(c("said").isNotNull() & c("num").isNull(), bit("xxhash64(said)")).otherwise(F.lit(0).cast("bigint")),
-            "sig2": F.when(c("said").isNotNull() & c("num").isNull(), bit("hash(said)")).otherwise(F.lit(0).cast("bigint")),
+            "cls": F.when(~c("said"), 0).when(c("num").isin(0.0, 1.0), FLAG).when(c("num").isNotNull(), NUMBER).otherwise(TEXT),
+            "sig": F.when(c("said") & c("num").isNull(), bit("xxhash64(text)")).otherwise(F.lit(0).cast("bigint")),
+            "sig2": F.when(c("said") & c("num").isNull(), bit("hash(text)")).otherwise(F.lit(0).cast("bigint")),
             "lo": c("num"),
             "hi": c("num"),
             "part": F.floor(F.coalesce("rec_no", F.lit(-1)) / 64),

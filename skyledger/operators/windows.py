@@ -27,30 +27,45 @@ def moving_average(value: str, key: str, order: str, width: int = 5) -> Column:
     return F.when(n < width, F.col(value)).otherwise(total / float(width))
 
 
-def gradient(value: str, time: str, key: str) -> Column:
-    """Derivative over uneven steps: second order inside, one-sided at the ends; null where two rows share a time."""
-    w = W.partitionBy(key).orderBy(time)
-    v, t = F.col(value), F.col(time)
-    vp, vn, tp, tn = F.lag(value).over(w), F.lead(value).over(w), F.lag(time).over(w), F.lead(time).over(w)
+def with_neighbours(df: DataFrame, key: str, order: str, carry: list[str], size: float = 8192.0) -> DataFrame:
+    """`df` with prev_<c> and next_<c> of each of `carry`, along `order` within `key`; a source of any length is many tasks (see `previous_row`)."""
+    bucket = F.floor(F.col(order) / F.lit(size))
+    x = previous_row(df, key, [order], bucket, carry, "prev_").withColumn("_down", -F.col(order))
+    return previous_row(x, key, ["_down"], -bucket, carry, "next_").drop("_down")
+
+
+def running_sum(df: DataFrame, key: str, order: str, value: Column, out: str, size: float = 8192.0) -> DataFrame:
+    """`df` with the sum of `value` up to each row along `order` within `key`: sums inside blocks, and the blocks before each, a row per block, as offset."""
+    x = df.withColumns({"_v": value, "_blk": F.floor(F.col(order) / F.lit(size))})
+    blocks = x.groupBy(F.col(key).alias("_k"), F.col("_blk").alias("_b")).agg(F.sum("_v").alias("_sum"))
+    upto = F.sum("_sum").over(W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.select("_k", "_b", F.coalesce(upto, F.lit(0.0)).alias("_before"))
+    inside = F.sum("_v").over(W.partitionBy(key, "_blk").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    x = x.withColumn("_in", inside).join(blocks, (F.col(key) == F.col("_k")) & (F.col("_blk") == F.col("_b")))
+    return x.withColumn(out, F.col("_before") + F.coalesce("_in", F.lit(0.0))).drop("_v", "_blk", "_in", "_k", "_b", "_before")
+
+
+def gradient(value: str, time: str) -> Column:
+    """Derivative over uneven steps, of a table `with_neighbours`: second order inside, one-sided at the ends; null where two rows share a time."""
+    v, t, vp, vn, tp, tn = (F.col(n) for n in (value, time, f"prev_{value}", f"next_{value}", f"prev_{time}", f"next_{time}"))
     hs, hd = t - tp, tn - t
     inner = F.try_divide(hs * hs * vn + (hd * hd - hs * hs) * v - hd * hd * vp, hs * hd * (hd + hs))
     return F.when(tp.isNull() & tn.isNull(), None).when(tp.isNull(), F.try_divide(vn - v, hd)).when(tn.isNull(), F.try_divide(v - vp, hs)).otherwise(inner)
 
 
-def bearing(x: str, y: str, key: str, order: str) -> Column:
-    """Course over ground in degrees from north; the last row repeats the one before."""
-    w = W.partitionBy(key).orderBy(order)
-    ahead = F.degrees(F.atan2(F.lead(x).over(w) - F.col(x), F.lead(y).over(w) - F.col(y)))
-    behind = F.degrees(F.atan2(F.col(x) - F.lag(x).over(w), F.col(y) - F.lag(y).over(w)))
-    return F.when(F.lead(x).over(w).isNull(), behind).otherwise(ahead)
+def bearing(x: str, y: str) -> Column:
+    """Course over ground in degrees from north, of a table `with_neighbours`; the last row repeats the one before."""
+    at = F.col
+    ahead = F.degrees(F.atan2(at(f"next_{x}") - at(x), at(f"next_{y}") - at(y)))
+    behind = F.degrees(F.atan2(at(x) - at(f"prev_{x}"), at(y) - at(f"prev_{y}")))
+    return F.when(at(f"next_{x}").isNull(), behind).otherwise(ahead)
 
 
 def unwrap(df: DataFrame, angle: str, key: str, order: str, out: str) -> DataFrame:
     """Radians without jumps of a turn: the sum of the wraps so far is taken off."""
-    w = W.partitionBy(key).orderBy(order)
-    turns = F.round((F.col(angle) - F.lag(angle).over(w)) / float(2 * np.pi))
-    x = df.withColumn("_turns", F.coalesce(turns, F.lit(0.0)))
-    return x.withColumn(out, F.col(angle) - F.sum("_turns").over(w.rowsBetween(W.unboundedPreceding, 0)) * float(2 * np.pi)).drop("_turns")
+    x = previous_row(df, key, [order], F.floor(F.col(order) / F.lit(8192.0)), [angle], "_p_")
+    turns = F.coalesce(F.round((F.col(angle) - F.col(f"_p_{angle}")) / float(2 * np.pi)), F.lit(0.0))
+    return running_sum(x, key, order, turns, "_turns").withColumn(out, F.col(angle) - F.col("_turns") * float(2 * np.pi)).drop("_turns", f"_p_{angle}")
 
 
 def true_segments(df: DataFrame, key: str, time: str, order: str, flag: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyledger.functions import geometry as G
-from skyledger.operators.blocks import meet_salted
+from skyledger.operators.blocks import meet_salted, previous_row
 from skyledger.operators import windows as T
 from skyledger.sources import adapters as A
 from skyledger.sources.srt import frame_count_blocks, sample_blocks, as_srt_text
@@ -61,9 +61,9 @@ def _(s, d):
 
 @query("c13_fa24_haversine_path", f"WITH {S}, g AS (SELECT flight_id, seq, lat, lon, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM s {GOOD} WINDOW w AS (PARTITION BY flight_id ORDER BY seq)), h AS (SELECT flight_id, 2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2)))) AS m FROM g) SELECT flight_id, count(*) AS n, round(coalesce(sum(m), 0), 3) AS path_m FROM h GROUP BY 1")
 def _(s, d):
-    w = W.partitionBy("flight_id").orderBy("seq")
-    x = A.samples(s, d).where(G.valid_gps(c("lat"), c("lon")))
-    x = x.withColumn("m", G.haversine(F.lag("lat").over(w), F.lag("lon").over(w), c("lat"), c("lon")))
+    x = A.samples(s, d).where(G.valid_gps(c("lat"), c("lon"))).select("flight_id", "seq", "lat", "lon")
+    x = previous_row(x, "flight_id", ["seq"], F.floor(c("seq") / 8192), ["lat", "lon"])
+    x = x.withColumn("m", G.haversine(c("prev_lat"), c("prev_lon"), c("lat"), c("lon")))
     return x.groupBy("flight_id").agg(F.count(F.lit(1)).alias("n"), r(F.coalesce(F.sum("m"), F.lit(0.0)), 3).alias("path_m"))
 
 
@@ -137,14 +137,14 @@ G3 = "g AS (SELECT flight_id, pose_no, t, pos_x AS v, pos_y AS y, lag(pos_x) OVE
 
 @query("g2_g3_g10_gradient", f"WITH {P}, {G3} SELECT flight_id, pose_no, round(hs, 9) AS dt, round(CASE WHEN hs IS NULL AND hd IS NULL THEN NULL WHEN hs IS NULL THEN (vn - v) / hd WHEN hd IS NULL THEN (v - vp) / hs ELSE (hs * hs * vn + (hd * hd - hs * hs) * v - hd * hd * vp) / (hs * hd * (hd + hs)) END, 6) AS vel_x, 5.0::DOUBLE AS position_std_m FROM g")
 def _(s, d):
-    w = W.partitionBy("flight_id").orderBy("t")
-    x = A.poses(s, d).where("t is not null")
-    return x.select("flight_id", "pose_no", r(c("t") - F.lag("t").over(w)).alias("dt"), r(T.gradient("pos_x", "t", "flight_id"), 6).alias("vel_x"), F.lit(5.0).alias("position_std_m"))
+    x = T.with_neighbours(A.poses(s, d).where("t is not null").select("flight_id", "pose_no", "t", "pos_x"), "flight_id", "t", ["t", "pos_x"])
+    return x.select("flight_id", "pose_no", r(c("t") - c("prev_t")).alias("dt"), r(T.gradient("pos_x", "t"), 6).alias("vel_x"), F.lit(5.0).alias("position_std_m"))
 
 
 @query("g4_bearing", f"WITH {P}, b AS (SELECT flight_id, pose_no, degrees(atan2(lead(pos_x) OVER w - pos_x, lead(pos_y) OVER w - pos_y)) AS a, degrees(atan2(pos_x - lag(pos_x) OVER w, pos_y - lag(pos_y) OVER w)) AS b FROM p WINDOW w AS (PARTITION BY flight_id ORDER BY pose_no)) SELECT flight_id, pose_no, round(coalesce(a, b), 6) AS bearing_deg FROM b")
 def _(s, d):
-    return A.poses(s, d).select("flight_id", "pose_no", r(T.bearing("pos_x", "pos_y", "flight_id", "pose_no"), 6).alias("bearing_deg"))
+    x = T.with_neighbours(A.poses(s, d).select("flight_id", "pose_no", "pos_x", "pos_y"), "flight_id", "pose_no", ["pos_x", "pos_y"])
+    return x.select("flight_id", "pose_no", r(T.bearing("pos_x", "pos_y"), 6).alias("bearing_deg"))
 
 
 @query("g6_unwrap", f"WITH {P}, u AS (SELECT flight_id, pose_no, yaw, coalesce(round((yaw - lag(yaw) OVER w) / (2 * pi())), 0) AS k FROM p WINDOW w AS (PARTITION BY flight_id ORDER BY pose_no)) SELECT flight_id, pose_no, round(yaw - sum(k) OVER (PARTITION BY flight_id ORDER BY pose_no) * 2 * pi(), 6) AS yaw FROM u")
@@ -155,8 +155,8 @@ def _(s, d):
 
 @query("g7_cumulative_drift", f"WITH {P} SELECT flight_id, pose_no, round(sum(position_std_m - 1.0) OVER (PARTITION BY flight_id ORDER BY pose_no ROWS UNBOUNDED PRECEDING), 6) AS drift FROM p")
 def _(s, d):
-    w = W.partitionBy("flight_id").orderBy("pose_no").rowsBetween(W.unboundedPreceding, 0)
-    return A.poses(s, d).select("flight_id", "pose_no", r(F.sum(c("position_std_m") - 1.0).over(w), 6).alias("drift"))
+    x = T.running_sum(A.poses(s, d).select("flight_id", "pose_no", "position_std_m"), "flight_id", "pose_no", c("position_std_m") - 1.0, "drift")
+    return x.select("flight_id", "pose_no", r(c("drift"), 6).alias("drift"))
 
 
 @query("g9_kalman")

@@ -149,7 +149,8 @@ def test_moving_average_gradient_and_unwrap_equal_numpy(spark):
     rng = np.random.default_rng(0)
     v, t = rng.normal(size=40), np.cumsum(rng.uniform(0.5, 2, 40))
     df = series(spark, v, t)
-    x = df.select("i", T.moving_average("v", "k", "i").alias("m"), T.gradient("v", "t", "k").alias("g")).orderBy("i").toPandas()
+    x = T.with_neighbours(df.withColumn("m", T.moving_average("v", "k", "i")), "k", "t", ["v", "t"], 5.0)
+    x = x.select("i", "m", T.gradient("v", "t").alias("g")).orderBy("i").toPandas()
     assert np.allclose(x.m, np.convolve(np.pad(v, 2, mode="edge"), np.ones(5) / 5, mode="valid"))
     assert np.allclose(x.g, np.gradient(v, t))
     a = (np.cumsum(rng.uniform(0, 1.5, 60)) + np.pi) % (2 * np.pi) - np.pi
@@ -245,7 +246,7 @@ def test_average_ranks_equal_scipy_style_ranks(spark):
 
 def test_gradient_of_two_rows_at_one_time_is_null(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("a", 1.0, 2.0), ("b", 0.0, 0.0), ("b", 2.0, 4.0)], "k string, t double, v double")
-    got = df.select("k", T.gradient("v", "t", "k").alias("g")).collect()
+    got = T.with_neighbours(df, "k", "t", ["v", "t"]).select("k", T.gradient("v", "t").alias("g")).collect()
     assert [r.g for r in got if r.k == "a"] == [None, None] and [r.g for r in got if r.k == "b"] == [2.0, 2.0]
 
 

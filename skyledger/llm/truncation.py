@@ -42,26 +42,31 @@ class CutParams:
     threshold: float = 0.4  # of the posterior; texts away from a limit get too low a one rather than too high
 
 
-def _tail(text: Column, p: CutParams) -> Column:
-    """The last characters of a text without the blanks behind it, however many they are."""
-    end = F.when(F.right(text, F.lit(1)).rlike(r"(?U)\s"), F.rtrim(text, F.lit(BLANKS))).otherwise(text)
-    return F.right(end, F.lit(p.tail_chars))
+def _blank(char: Column) -> Column:
+    return (char != "") & F.contains(F.lit(BLANKS), char)
 
 
-def _ending(text: Column, p: CutParams) -> tuple[Column, Column]:
-    """(word, kind) of the end of a text: its last word, generalised, and the kind of its last character."""
-    tail = _tail(text, p)
-    word = F.lower(F.regexp_extract(tail, r"(?U)(\S+)$", 1))
+def _tail(text: Column, p: CutParams, at: Column | None = None) -> Column:
+    """The last characters of a text (cut behind character `at`) without the blanks behind it, however many they are."""
+    n = F.length(text) if at is None else at
+    cut = text if at is None else F.substring(text, F.lit(1), n)
+    plain = F.substring(text, F.greatest(n - (p.tail_chars - 1), F.lit(1)), F.least(n, F.lit(p.tail_chars)))
+    return F.when(_blank(F.substring(text, n, F.lit(1))), F.right(F.rtrim(cut, F.lit(BLANKS)), F.lit(p.tail_chars))).otherwise(plain)
+
+
+def _ending(tail: Column, blank_behind: Column) -> tuple[Column, Column]:
+    """(word, kind) of the end of a text, given as its tail: its last word, generalised, and the kind of its last character."""
+    word = F.lower(F.regexp_extract(F.substring_index(tail, " ", -1), r"(?U)(\S+)$", 1))
     word = F.when(F.length(word) > 24, F.right(word, F.lit(2))).otherwise(word)
     word = F.regexp_replace(word, r"\d", "0")
     word = F.when(word.rlike(r"^[0-9a-z]*0[a-z][0-9a-z]*$|^[a-z]+0[0-9a-z]*$|^(?=.*[a-f])[0a-f]{4,}$"), F.lit("<mixed>")).otherwise(word)
     last = F.right(tail, F.lit(1))
     # whole texts rarely end in blanks; a cut just behind a word or sentence often does
-    blank = F.when(F.right(text, F.lit(1)).rlike(r"(?U)\s"), "_").otherwise("")
+    blank = F.when(blank_behind, "_").otherwise("")
     kind = (
         F.when(F.length(tail) == 0, "blank")
-        .when(tail.rlike(r"(…|\.\.\.)$"), "dots")
-        .when(tail.rlike(r"\p{N}[.]$"), "numstop")
+        .when(tail.endswith("…") | tail.endswith("..."), "dots")
+        .when(F.right(tail, F.lit(2)).rlike(r"\p{N}[.]$"), "numstop")
         .when(last.rlike(r"[.!?。！？।؟]"), F.concat(F.lit("stop"), last, blank))
         .when(last.rlike(r"\p{L}|\p{M}"), "letter")
         .when(last.rlike(r"\p{N}"), "digit")
@@ -83,13 +88,15 @@ def features(documents: DataFrame, p: CutParams) -> DataFrame:
     d = unique_documents(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source")).where("doc_id is not null"))
     d = d.where("text is not null and text <> ''").withColumn("src", F.when(src != "", src).otherwise(F.lit(None)))
     d = d.withColumn("src", F.coalesce("src", F.lit(ALL)))
-    word, kind = _ending(F.col("text"), p)
-    n, broken = F.length("text"), _tail(F.col("text"), p).endswith(BROKEN)
-    cuts = []
-    for i in range(p.cuts):
-        at = 1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(n - 1, F.lit(1))).cast("int")
-        w, k = _ending(F.substring(F.col("text"), F.lit(1), at), p)
-        cuts.append(F.struct(w.alias("word"), k.alias("kind")))
+    text, n = F.col("text"), F.length("text")
+    at = {f"at{i}": 1 + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(n - 1, F.lit(1))).cast("int") for i in range(p.cuts)}
+    d = d.withColumns(at)
+    # each tail is made once; what follows reads a hundred characters instead of the text
+    d = d.withColumns({"tail": _tail(text, p), "behind": _blank(F.right(text, F.lit(1)))} | {f"tail{i}": _tail(text, p, F.col(f"at{i}")) for i in range(p.cuts)} | {f"behind{i}": _blank(F.substring(text, F.col(f"at{i}"), F.lit(1))) for i in range(p.cuts)})
+    word, kind = _ending(F.col("tail"), F.col("behind"))
+    broken = F.col("tail").endswith(BROKEN)
+    ends = [_ending(F.col(f"tail{i}"), F.col(f"behind{i}")) for i in range(p.cuts)]
+    cuts = [F.struct(w.alias("word"), k.alias("kind")) for w, k in ends]
     return d.select(
         "doc_id",
         "src",

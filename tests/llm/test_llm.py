@@ -188,10 +188,10 @@ def test_cut_documents_on_a_planted_corpus(spark):
 def test_blanks_behind_the_end_change_nothing_however_many(spark):
     from pyspark.sql import functions as F
 
-    from skyledger.llm.truncation import CutParams, _ending
+    from skyledger.llm.truncation import CutParams, _blank, _ending, _tail
 
     df = spark.createDataFrame([("The flight was calm" + " " * 5,), ("The flight was calm" + " \t\u3000" * 400,), (" " * 500,), ("x" * 300_000 + " " * 90,)], "text string")
-    w, k = _ending(F.col("text"), CutParams())
+    w, k = _ending(_tail(F.col("text"), CutParams()), _blank(F.right("text", F.lit(1))))
     got = [tuple(r) for r in df.select(w, k).collect()]
     assert got[0] == got[1] == ("calm", "letter") and got[2][1] == "blank" and got[3] == ("xx", "letter")
 

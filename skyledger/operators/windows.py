@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import atan2, hypot, sqrt
+from functools import reduce
+from math import atan2, ceil, floor, hypot, sqrt
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -143,6 +145,49 @@ def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
     return n.join(F.broadcast(parts), "_part").select(value, (F.col("_before") + run - (F.col("count") - 1) / 2.0).alias(out))
 
 
+def percentiles(df: DataFrame, value: str, at: dict[str, float], sums: dict[str, Column]) -> DataFrame:
+    """One row: the `sums` over all rows and the exact percentiles `at` (name: share) as Spark's `percentile` interpolates them.
+
+    A first pass counts the values by sign and 256th of a power of two, which follow in the order of
+    the values and are at most a million counts however many rows there are. Only values of the few
+    counts that hold a wanted rank are taken in the second pass; they are counted, put into ranges and
+    ranked as in `average_ranks`, so no task meets all values even if they are nearly equal. Nulls
+    count for the sums only, NaN is the largest value; without values the percentiles are null.
+    `df` is read twice; the counts that hold a rank come to the driver, two a percentile at most.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    v, whole, by_size = F.col(value), W.partitionBy(), W.orderBy("_c")  # a row per count
+    size = F.floor((F.least(F.log2(F.abs(v)), F.lit(1025.0)) + 1075.0) * 256.0) + 1  # infinity and NaN share the last one
+    df = df.withColumn("_c", F.when(v == 0, F.lit(0).cast("bigint")).when(v < 0, -size).when(v > 0, size))
+    hist = df.groupBy("_c").agg(F.count(value).alias("_n"), *[F.sum(x).alias(k) for k, x in sums.items()])
+    hist = hist.select("_c", "_n", F.row_number().over(by_size).alias("_k"), F.sum("_n").over(by_size).alias("_end"), F.sum("_n").over(whole).alias("_total"), *[F.sum(k).over(whole).alias(k) for k in sums])
+    ranks = [f((F.col("_total") - 1) * F.lit(p)) for p in at.values() for f in (F.floor, F.ceil)]
+    rows = hist.where(reduce(or_, [(k >= F.col("_end") - F.col("_n")) & (k < F.col("_end")) for k in ranks], F.col("_k") == 1)).collect()
+    totals = [F.lit(rows[0][k] if rows else None).cast(hist.schema[k].dataType).alias(k) for k in sums]
+    total = rows[0]["_total"] if rows else 0
+    if not total:
+        return df.sparkSession.range(1).select(*totals, *[F.lit(None).cast("double").alias(k) for k in at])
+    pos = {k: (total - 1) * p for k, p in at.items()}
+    ranks = {f(x) for x in pos.values() for f in (floor, ceil)}
+    start = {x["_c"]: x["_end"] - x["_n"] for x in rows if any(x["_end"] - x["_n"] <= k < x["_end"] for k in ranks)}
+
+    keys = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k).cast("bigint") for k in start])).alias("_c"))
+    x = df.join(F.broadcast(keys), "_c", "left_semi")  # as a filter it would go into the plan of `df`, which repeats the value's expression
+    n = x.groupBy("_c", value).count().repartitionByRange(v).withColumn("_part", F.spark_partition_id()).checkpoint()
+    parts = n.groupBy("_c", "_part").agg(F.sum("count").alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy("_c").orderBy("_part")) - F.col("_sum")  # a row per task
+    parts = parts.select("_c", "_part", (before + F.coalesce(*[F.when(F.col("_c") == k, F.lit(low)) for k, low in start.items()])).alias("_before"))
+    end = F.col("_before") + F.sum("count").over(W.partitionBy("_c", "_part").orderBy(value))
+    n = n.join(F.broadcast(parts), ["_c", "_part"]).select(value, "count", end.alias("_end"))
+    got = n.agg(*[F.max(F.when((F.col("_end") > k) & (F.col("_end") - F.col("count") <= k), v)).cast("double").alias(f"_{k}") for k in ranks])
+
+    def between(x: float) -> Column:
+        lo, hi = F.col(f"_{floor(x)}"), F.col(f"_{ceil(x)}")
+        return F.when(lo == hi, lo).otherwise(F.lit(ceil(x) - x) * lo + F.lit(x - floor(x)) * hi)
+
+    return got.select(*totals, *[between(x).alias(k) for k, x in pos.items()])
+
+
 def stable_runs(df: DataFrame, key: str, order: str, value: str, drift: float = 0.1) -> DataFrame:
     """(key, order, value, run): greedy runs, named by the order of their first row; a value further than `drift` from the run's first starts the next.
 

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from skyledger.functions import geometry as G
 from skyledger.operators.graph import components, face_edges, small_components
 from skyledger.operators.spatial import in_boxes, k_nearest, nearest
-from skyledger.operators.windows import average_ranks
+from skyledger.operators.windows import average_ranks, percentiles
 from skyledger.plans.fusion import SCORED_SQL, scored
+from skyledger.session import ensure_checkpoint_dir
 from skyledger.sources import adapters as A
 from skyledger.tables import table
 
 c = F.col
 r = lambda x, n=9: F.round(x, n)
+SMALL_MESH = 200_000  # vertices that are sent to every task, 32 bytes each
 QUERIES, SQL = {}, {}
 
 
@@ -279,14 +281,22 @@ def _(s, d):
 
 @query("fa21_face_areas", f"WITH {GS}, t AS (SELECT l_orderkey * 8 + l_linenumber AS fid, l_orderkey % nv AS a, l_partkey % nv AS b, l_suppkey % nv AS c FROM lineitem, (SELECT count(*) AS nv FROM embeddings)), v AS (SELECT t.*, q.x - p.x AS ux, q.y - p.y AS uy, q.z - p.z AS uz, w.x - p.x AS vx, w.y - p.y AS vy, w.z - p.z AS vz FROM t JOIN g p ON p.id = a JOIN g q ON q.id = b JOIN g w ON w.id = c), s AS (SELECT 0.5 * sqrt(pow(uy * vz - uz * vy, 2) + pow(uz * vx - ux * vz, 2) + pow(ux * vy - uy * vx, 2)) AS area FROM v) SELECT count(*) AS n, round(sum(area), 3) AS area, round(quantile_cont(area, 0.5), 9) AS area_p50, round(quantile_cont(area, 0.99), 9) AS area_p99, count(*) FILTER (WHERE area < 1e-10) AS n_flat FROM s")
 def _(s, d):
+    """Number, sum and exact percentiles of the areas; the vertices are counted first, and up to a bound go to the faces."""
     g = A.gaussians(s, d).select("id", "x", "y", "z")
-    t = A.faces(s, d)
+    n = g.count()
+    small = n <= SMALL_MESH
+    t = A.faces(s, d, n)
     for k in "abc":
-        t = t.join(g.select(c("id").alias(k), *[c(n).alias(f"{k}{n}") for n in "xyz"]), k)
-    u, v = [c(f"b{n}") - c(f"a{n}") for n in "xyz"], [c(f"c{n}") - c(f"a{n}") for n in "xyz"]
+        corner = g.select(c("id").alias(k), *[c(m).alias(f"{k}{m}") for m in "xyz"])
+        t = t.join(F.broadcast(corner) if small else corner, k)
+    u, v = [c(f"b{m}") - c(f"a{m}") for m in "xyz"], [c(f"c{m}") - c(f"a{m}") for m in "xyz"]
     cross = (u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
-    t = t.select((F.sqrt(F.pow(cross[0], 2) + F.pow(cross[1], 2) + F.pow(cross[2], 2)) * 0.5).alias("area"))
-    return t.agg(F.count(F.lit(1)).alias("n"), r(F.sum("area"), 3).alias("area"), r(F.percentile("area", F.lit(0.5))).alias("area_p50"), r(F.percentile("area", F.lit(0.99))).alias("area_p99"), F.count(F.when(c("area") < 1e-10, 1)).alias("n_flat"))
+    t = t.select((F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]) * 0.5).alias("area"))
+    if not small:  # read twice; the exchanges of the joins only once
+        ensure_checkpoint_dir(s)
+        t = t.checkpoint()
+    t = percentiles(t, "area", {"area_p50": 0.5, "area_p99": 0.99}, {"n": F.lit(1), "area": c("area"), "n_flat": F.when(c("area") < 1e-10, 1).otherwise(0)})
+    return t.select(F.coalesce("n", F.lit(0)).alias("n"), r(c("area"), 3).alias("area"), r(c("area_p50")).alias("area_p50"), r(c("area_p99")).alias("area_p99"), F.coalesce("n_flat", F.lit(0)).alias("n_flat"))
 
 
 @query("fa21_mesh_components")

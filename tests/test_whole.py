@@ -1,9 +1,13 @@
 """Queries that once worked on a part of their tables, against the whole job in plain Python or DuckDB."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from skyledger.operators import windows as T
 
 D = "/root/testdata/sf0.001"
 
@@ -155,3 +159,47 @@ def test_parts_share_and_extent_of_a_mesh(spark, tmp_path):
     mesh(spark, tmp_path, [(1, 2, 3), (3, 4, 5), (6, 7, 8)], 10)  # parts of 5 and 3; 0 and 9 alone
     got = run(spark, "fa21_mesh_components", tmp_path)[0]
     assert got == pytest.approx((4, 0.5, 0.0, -9.0, 5.0, 9.0, 0.0, 5.0))
+
+
+def most_read_by_a_task(spark, since):
+    """MB of shuffled data that the tasks of a stage read on the average, of the worst stage that ran from stage `since` on."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return max(x.stageId() for x in stages), max([x.shuffleReadBytes() / x.numTasks() / 1e6 for x in stages if x.stageId() >= since])
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])  # vertices sent to the faces, and met by an exchange
+def test_areas_of_many_faces_meet_in_no_task(spark, tmp_path, monkeypatch, bound):
+    from skyledger.plans import clouds
+
+    monkeypatch.setattr(clouds, "SMALL_MESH", bound, raising=False)
+    n, m = 300, 200_000
+    rng = np.random.default_rng(7)
+    xyz, f = rng.normal(size=(n, 3)).astype(np.float32), rng.integers(0, n, size=(m, 3))
+    f[:3, 1] = f[:3, 0]  # flat
+    duckdb.from_arrow(pa.table({"l_orderkey": f[:, 0], "l_partkey": f[:, 1], "l_suppkey": f[:, 2], "l_linenumber": np.ones(m, int)})).write_parquet(f"{tmp_path}/lineitem.parquet")
+    save(spark, tmp_path, "embeddings", [(i, 0, [float(v) for v in xyz[i]] + [0.0] * 61) for i in range(n)], "vec_id long, label int, embedding array<float>")
+    since, _ = most_read_by_a_task(spark, 0)
+    got = run(spark, "fa21_face_areas", tmp_path)[0]
+    p = xyz.astype(float) * 10
+    area = np.linalg.norm(np.cross(p[f[:, 1]] - p[f[:, 0]], p[f[:, 2]] - p[f[:, 0]]), axis=1) / 2
+    assert got == (m, pytest.approx(area.sum(), abs=6e-4), pytest.approx(np.quantile(area, 0.5), abs=2e-9), pytest.approx(np.quantile(area, 0.99), abs=2e-9), (area < 1e-10).sum())
+    assert got[4] >= 3
+    assert bound == 0 or most_read_by_a_task(spark, since + 1)[1] < 1.0  # all areas once are 1.6 MB
+
+
+NEAR = [1.0 + k * 2.0**-52 for k in range(999)]  # all of one size
+ODD = {
+    "none": [], "nulls": [None, None], "one": [-3.5], "two": [2.0, -1.0], "ties": [1.0] * 50 + [2.0] * 51, "zeros": [0.0, -0.0, 5e-324, -5e-324, None, 0.0], "near": NEAR,
+    "wide": [s * 10.0**e for s in (-1, 1) for e in range(-320, 309, 7)], "ends": [float("-inf"), -1.0, 1.7e308, float("inf"), float("nan"), float("nan")], "nan": [float("nan"), 1.0, None],
+}
+
+
+@pytest.mark.parametrize("kind", ODD)
+def test_percentiles_are_those_of_spark(spark, kind):
+    df = spark.createDataFrame([(x,) for x in ODD[kind]], "x double").repartition(3)
+    at = {f"p{k}": k / 100 for k in (0, 1, 33, 50, 99, 100)}
+    got = T.percentiles(df, "x", at, {"n": F.lit(1), "above": F.when(F.col("x") > 1, 1).otherwise(0)}).first()
+    want = df.agg(F.sum(F.lit(1)), F.sum(F.when(F.col("x") > 1, 1).otherwise(0)), *[F.percentile("x", F.lit(p)) for p in at.values()]).first()
+    assert got.__fields__ == ["n", "above", *at]
+    assert [str(v if v is None else v + 0) for v in got] == [str(v if v is None else v + 0) for v in want]  # -0.0 is 0
